@@ -169,7 +169,7 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, reach: float =
     limits = F.broadcast(bands(measured.where(~F.col("base_failed")), reach))
     inside = F.lit(True)
     for m in MEASURES:
-        scatter = F.lit(SCATTER[m]) / F.sqrt("n_words")
+        scatter = F.lit(SCATTER[m]) / F.sqrt(F.greatest("n_words", F.lit(1)))
         inside = inside & F.coalesce(F.col(m).between(F.col(f"{m}_low") - scatter, F.col(f"{m}_high") + scatter), F.lit(True))
     judged = measured.join(limits, "script", "left").withColumn("kept", ~F.col("base_failed") & inside)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *MEASURES)
