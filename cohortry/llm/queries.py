@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, langid, media, mixing, packing, secrets, sharding, site_quality, warc
+from . import fertility, jaccard, langid, media, mixing, packing, secrets, sharding, site_quality, warc
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.quality_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), path)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
@@ -56,9 +60,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_warc": op8_warc,
     "op9_secret_scans": op9_secret_scans,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE: dict[str, str] = {"op8_warc": warc.PAGE_RECORDS_SQL}
+ORACLE: dict[str, str] = {"op7_ngram_jaccard_join": jaccard.COMPONENTS_SQL, "op8_warc": warc.PAGE_RECORDS_SQL}
