@@ -80,7 +80,7 @@ def categorical_summary(df: DataFrame, column: str, label: str = "MISSING", rare
 
 def crosstab(df: DataFrame, target: str, group: str, total: str = "Total") -> DataFrame:
     """(target, group, n, pct) with margins: one cube; pct is of the group's column."""
-    cube = df.cube(F.coalesce(target, F.lit("MISSING")).alias("target"), F.coalesce(group, F.lit("MISSING")).alias("group"))
+    cube = df.select(F.coalesce(target, F.lit("MISSING")).alias("target"), F.coalesce(group, F.lit("MISSING")).alias("group")).cube("target", "group")
     counts = cube.agg(F.count(F.lit(1)).alias("n"), F.grouping("target").alias("gt"), F.grouping("group").alias("gg"))
     named = counts.select(F.when(F.col("gt") == 1, total).otherwise(F.col("target")).alias("target"), F.when(F.col("gg") == 1, total).otherwise(F.col("group")).alias("group"), "n", "gt")
     column_total = F.max(F.when(F.col("gt") == 1, F.col("n"))).over(Window.partitionBy("group"))

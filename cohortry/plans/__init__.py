@@ -1,4 +1,6 @@
 """Registered queries and the SQL that states the same results, by family."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import evaluation, tables  # noqa: F401
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
