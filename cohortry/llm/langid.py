@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 from .common import mix64
 
 ORDER = 4
-SAMPLE_DOCS = 1200
+SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
 RUN_CHARS = 1 << 18
 HELD_OUT = 5
 UNDETERMINED = "und"
 #: A text is rejected if its cross-entropy (nats per character) is above the training texts' mean by so many deviations.
-REJECT_DEVIATIONS = 10.0
+REJECT_DEVIATIONS = 14.0
 #: The scatter of a short text's cross-entropy: this over the square root of its length is allowed besides.
-REJECT_SCATTER = 6.0
+REJECT_SCATTER = 12.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _START = np.uint32(0x110000)
 
@@ -87,26 +87,32 @@ def _find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np
 def train(samples: dict[str, list[str]]) -> Models:
     """Interpolated Kneser-Ney models of all languages from their sample texts."""
     languages = sorted(samples)
-    per_language = []
-    for language in languages:
-        points, bounds = _points(samples[language])
-        marks = (bounds[:-1, None] + np.arange(ORDER - 1)).ravel()
+    points_of = {language: _points(samples[language]) for language in languages}
+
+    def counted(language: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams of order k with their contexts, their last k - 1 characters' hashes, and counts."""
+        points, bounds = points_of[language]
         real = np.ones(len(points), bool)
-        real[marks] = False
+        real[(bounds[:-1, None] + np.arange(ORDER - 1)).ravel()] = False
         real = real[ORDER - 1 :]
-        order_grams = []
-        for k in range(1, ORDER + 1):
-            gram, context, shorter = gram_hashes(points, k)[real], context_hashes(points, k - 1)[real], gram_hashes(points, k - 1)[real] if k > 1 else None
-            before = points[ORDER - 1 - k : len(points) - k][real] if k < ORDER else None
-            order_grams.append((gram, context, shorter, before))
-        per_language.append(order_grams)
-    alphabet = len(np.unique(np.concatenate([p[0][0] for p in per_language])))
+        gram = gram_hashes(points, k)[real]
+        if k < ORDER:  # continuation counts: in how many distinct one-character extensions to the left
+            before = points[ORDER - 1 - k : len(points) - k][real]
+            longer = np.unique(mix64(gram ^ (before.astype(np.uint64) * _STEP)), return_index=True)[1]
+            distinct, first, count = np.unique(gram[longer], return_index=True, return_counts=True)
+            first = longer[first]
+        else:
+            distinct, first, count = np.unique(gram, return_index=True, return_counts=True)
+        shorter = gram_hashes(points, k - 1)[real][first] if k > 1 else distinct
+        return distinct, context_hashes(points, k - 1)[real][first], shorter, count
+
+    alphabet = len(np.unique(np.concatenate([np.unique(p) for p, _ in points_of.values()])))
     floor = 1.0 / (4 * alphabet + 4)
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     contexts: list[tuple[np.ndarray, np.ndarray]] = []
     lower: tuple[np.ndarray, np.ndarray] | None = None  # the order below, as probabilities
     for k in range(1, ORDER + 1):
-        every = [p[k - 1] for p in per_language]
+        every = [counted(language, k) for language in languages]
         all_grams, first = np.unique(np.concatenate([e[0] for e in every]), return_index=True)
         context_of = np.concatenate([e[1] for e in every])[first]
         all_contexts = np.unique(context_of)
@@ -116,15 +122,10 @@ def train(samples: dict[str, list[str]]) -> Models:
         if k == 1:
             below = np.full((len(all_grams), len(languages)), floor)
         else:
-            short_of = np.concatenate([e[2] for e in every])[first]
-            below = lower[1][np.searchsorted(lower[0], short_of)]
-        for j, (gram, _, _, before) in enumerate(every):
-            if k == ORDER:
-                seen = gram
-            else:  # continuation counts: in how many distinct one-character extensions to the left
-                pairs = np.unique(np.stack([gram, before.astype(np.uint64)]), axis=1) if len(gram) else np.empty((2, 0), np.uint64)
-                seen = pairs[0]
-            count = np.bincount(np.searchsorted(all_grams, seen), minlength=len(all_grams)).astype(float)
+            below = lower[1][np.searchsorted(lower[0], np.concatenate([e[2] for e in every])[first])]
+        for j, (gram, _, _, counts) in enumerate(every):
+            count = np.zeros(len(all_grams))
+            count[np.searchsorted(all_grams, gram)] = counts
             ones, twos = (count == 1).sum(), (count == 2).sum()
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
             total = np.bincount(context_at, count, minlength=len(all_contexts))
@@ -153,10 +154,7 @@ def log_probabilities(models: Models, points: np.ndarray) -> np.ndarray:
         if len(open_at) < n:
             hashes = hashes[open_at]
         at, hit = _find(models.grams[k - 1][0], hashes)
-        if len(open_at) == n:
-            out[hit] = models.grams[k - 1][1][at[hit]]
-        else:
-            out[open_at[hit]] += models.grams[k - 1][1][at[hit]]
+        out[open_at[hit]] += models.grams[k - 1][1][at[hit]]
         open_at = open_at[~hit]
         if not len(open_at):
             return out
