@@ -145,37 +145,39 @@ def prj24(spark, sf):
 
 
 # -- generic normalisation --
-def _parts(name: str, source: str, sql: str, *columns) -> None:
+def _parts(name: str, source: str, sql: str, columns) -> None:
+    """``columns`` gives the selected columns when called: column objects need a session."""
+
     @query(name, sql)
     def one(spark, sf):
-        return table(spark, sf, source).select(*columns)
+        return table(spark, sf, source).select(*columns())
 
 
 c = F.col
-_parts("PRJ_01_normalize_id", "orders", "SELECT o_orderkey, 'case_' || o_custkey AS v FROM orders", "o_orderkey", N.normalize_id(F.concat(F.lit(" a/b/case_"), c("o_custkey").cast("string"), F.when(c("o_orderkey") % 2 == 0, "/").otherwise(""))).alias("v"))
-_parts("PRJ_02_uid", "customer", "SELECT c_mktsegment || '::' || c_custkey AS uid FROM customer", N.uid(c("c_mktsegment"), c("c_custkey").cast("string")).alias("uid"))
-_parts("PRJ_03_patient_of_stem", "customer", "SELECT c_custkey, 'case_' || c_custkey AS a, 'SR1482_' || c_custkey AS b, 'SR386_0' AS z FROM customer", "c_custkey", N.patient_of_stem(F.concat(F.lit("case_"), c("c_custkey").cast("string"), F.lit("__s1")), "case_folders").alias("a"), N.patient_of_stem(F.concat(F.lit("SR1482_40X_HE_T0"), c("c_custkey").cast("string"), F.lit("_01")), "surgen").alias("b"), N.patient_of_stem(F.lit("SR386_40X_HE_T000_01"), "surgen").alias("z"))
-_parts("PRJ_05_missing_tokens", "customer", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS v FROM customer", "c_custkey", N.missing_to_null(F.when(c("c_custkey") % 8 == 0, " N/A ").when(c("c_custkey") % 8 == 4, "").otherwise(c("c_name"))).alias("v"))
-_parts("PRJ_06_clean_text", "documents", r"SELECT doc_id, lower(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) AS v FROM documents", "doc_id", N.clean_text(c("text")).alias("v"))
-_parts("PRJ_07_value_mapping", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS v FROM orders", "o_orderkey", N.mapped(c("o_orderstatus"), {"F": "done", "O": "open"}).alias("v"))
-_parts("PRJ_08_label_harmonize", "part", "SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'a' ELSE p_brand END AS v FROM part", "p_partkey", N.mapped(c("p_brand"), {"Brand#11": "a"}).alias("v"))
-_parts("PRJ_09_forced_label", "customer", "SELECT c_custkey, 'colon' AS label FROM customer", "c_custkey", F.lit("colon").alias("label"))
-_parts("PRJ_10_strict_mapping", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' END AS v FROM orders", "o_orderkey", N.mapped(c("o_orderstatus"), {"F": "done"}, strict=True).alias("v"))
-_parts("PRJ_11_safe_number", "part", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size::DOUBLE END AS v FROM part", "p_partkey", N.to_number(F.when(c("p_size") % 3 == 0, "x").otherwise(c("p_size").cast("string"))).alias("v"))
-_parts("PRJ_12_safe_time", "orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS v FROM orders", "o_orderkey", F.date_format(N.to_time(F.when(c("o_orderkey") % 3 == 0, "soon").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")), "dd/MM/yyyy"), "yyyy-MM-dd").alias("v"))
-_parts("PRJ_13_boolean", "orders", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS v FROM orders", "o_orderkey", N.to_boolean(F.when(c("o_orderkey") % 3 == 0, " Yes").when(c("o_orderkey") % 3 == 1, "0").otherwise("?")).alias("v"))
-_parts("PRJ_15_age_bin", "part", "SELECT p_partkey, CASE WHEN a > 0 AND a <= 50 THEN '<50' WHEN a > 50 AND a <= 70 THEN '50-70' WHEN a > 70 AND a <= 200 THEN '>=70' END AS v FROM (SELECT p_partkey, (p_partkey % 211 - 5)::DOUBLE AS a FROM part)", "p_partkey", N.age_bin((c("p_partkey") % 211 - 5).cast("double")).alias("v"))
-_parts("PRJ_16_age_group", "part", "SELECT p_partkey, CASE WHEN a IS NULL THEN 'MISSING' WHEN a >= 0 AND a < 50 THEN '<50' WHEN a >= 50 AND a < 70 THEN '50-70' ELSE '>=70' END AS v FROM (SELECT p_partkey, nullif(p_partkey % 211 - 5, 7) AS a FROM part)", "p_partkey", N.age_group(F.nullif(c("p_partkey") % 211 - 5, F.lit(7))).alias("v"))
-_parts("PRJ_25_concat_text", "orders", "SELECT o_orderkey, concat_ws(' ', CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, o_orderpriority) AS v FROM orders", "o_orderkey", F.concat_ws(" ", F.when(c("o_orderkey") % 2 == 0, c("o_orderstatus")), "o_orderpriority").alias("v"))
-_parts("PRJ_49_prefix", "customer", "SELECT c_custkey, 'x/' || c_name AS v FROM customer", "c_custkey", N.prefixed(F.when(c("c_custkey") % 2 == 0, F.concat(F.lit("x/"), "c_name")).otherwise(c("c_name")), "x/").alias("v"))
-_parts("PRJ_50_interval_text", "part", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '—' ELSE printf('%.3f [%.3f, %.3f]', p_size / 7.0::DOUBLE, p_size / 17.0::DOUBLE, p_size / 3.0::DOUBLE) END AS v FROM part", "p_partkey", N.interval_text(F.when(c("p_size") % 3 != 0, c("p_size") / 7.0), c("p_size") / 17.0, c("p_size") / 3.0).alias("v"))
-_parts("PRJ_51_comparison", "nation", "SELECT n_nationkey, n_name || ' vs ' || n_regionkey AS v FROM nation", "n_nationkey", N.comparison_text(F.array(c("n_name"), c("n_regionkey").cast("string"))).alias("v"))
-_parts("PRJ_52_pixel_normal", "part", "SELECT p_partkey, round((p_size / 255.0::DOUBLE - 0.5) / 0.25, 6) AS v FROM part", "p_partkey", F.round(N.pixel_normal(F.array(c("p_size")), 0.5, 0.25)[0], 6).alias("v"))
-_parts("PRJ_53_align_probabilities", "part", "SELECT p_partkey, 0.25::DOUBLE AS p0, 0.0::DOUBLE AS p1, 0.75::DOUBLE AS p2 FROM part", "p_partkey", *[N.align_probabilities(F.array(F.lit(0), F.lit(2)), F.array(F.lit(0.25), F.lit(0.75)), 3)[k].alias(f"p{k}") for k in range(3)])
-_parts("PRJ_14_derived", "orders", "SELECT o_orderkey, o_totalprice * 2 AS twice, upper(o_orderstatus) || '!' AS s FROM orders", "o_orderkey", F.expr("o_totalprice * 2").alias("twice"), F.expr("upper(o_orderstatus) || '!'").alias("s"))
-_parts("GEO_09_output_stem", "customer", "SELECT 'case_' || c_nationkey || '__' || c_custkey AS v FROM customer", tiles.output_stem(F.concat(F.lit("case_"), c("c_nationkey").cast("string")), c("c_custkey").cast("string")).alias("v"))
-_parts("FLT_12_low_n", "part", "SELECT p_partkey, p_size < 10 AS low_n FROM part", "p_partkey", (c("p_size") < 10).alias("low_n"))
-_parts("FLT_04_prefix", "part", "SELECT p_partkey FROM part WHERE starts_with(p_name, 'a') OR NOT starts_with(p_name, 'a')", "p_partkey")
+_parts("PRJ_01_normalize_id", "orders", "SELECT o_orderkey, 'case_' || o_custkey AS v FROM orders", lambda: ["o_orderkey", N.normalize_id(F.concat(F.lit(" a/b/case_"), c("o_custkey").cast("string"), F.when(c("o_orderkey") % 2 == 0, "/").otherwise(""))).alias("v")])
+_parts("PRJ_02_uid", "customer", "SELECT c_mktsegment || '::' || c_custkey AS uid FROM customer", lambda: [N.uid(c("c_mktsegment"), c("c_custkey").cast("string")).alias("uid")])
+_parts("PRJ_03_patient_of_stem", "customer", "SELECT c_custkey, 'case_' || c_custkey AS a, 'SR1482_' || c_custkey AS b, 'SR386_0' AS z FROM customer", lambda: ["c_custkey", N.patient_of_stem(F.concat(F.lit("case_"), c("c_custkey").cast("string"), F.lit("__s1")), "case_folders").alias("a"), N.patient_of_stem(F.concat(F.lit("SR1482_40X_HE_T0"), c("c_custkey").cast("string"), F.lit("_01")), "surgen").alias("b"), N.patient_of_stem(F.lit("SR386_40X_HE_T000_01"), "surgen").alias("z")])
+_parts("PRJ_05_missing_tokens", "customer", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS v FROM customer", lambda: ["c_custkey", N.missing_to_null(F.when(c("c_custkey") % 8 == 0, " N/A ").when(c("c_custkey") % 8 == 4, "").otherwise(c("c_name"))).alias("v")])
+_parts("PRJ_06_clean_text", "documents", r"SELECT doc_id, lower(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) AS v FROM documents", lambda: ["doc_id", N.clean_text(c("text")).alias("v")])
+_parts("PRJ_07_value_mapping", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS v FROM orders", lambda: ["o_orderkey", N.mapped(c("o_orderstatus"), {"F": "done", "O": "open"}).alias("v")])
+_parts("PRJ_08_label_harmonize", "part", "SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'a' ELSE p_brand END AS v FROM part", lambda: ["p_partkey", N.mapped(c("p_brand"), {"Brand#11": "a"}).alias("v")])
+_parts("PRJ_09_forced_label", "customer", "SELECT c_custkey, 'colon' AS label FROM customer", lambda: ["c_custkey", F.lit("colon").alias("label")])
+_parts("PRJ_10_strict_mapping", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' END AS v FROM orders", lambda: ["o_orderkey", N.mapped(c("o_orderstatus"), {"F": "done"}, strict=True).alias("v")])
+_parts("PRJ_11_safe_number", "part", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size::DOUBLE END AS v FROM part", lambda: ["p_partkey", N.to_number(F.when(c("p_size") % 3 == 0, "x").otherwise(c("p_size").cast("string"))).alias("v")])
+_parts("PRJ_12_safe_time", "orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS v FROM orders", lambda: ["o_orderkey", F.date_format(N.to_time(F.when(c("o_orderkey") % 3 == 0, "soon").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")), "dd/MM/yyyy"), "yyyy-MM-dd").alias("v")])
+_parts("PRJ_13_boolean", "orders", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS v FROM orders", lambda: ["o_orderkey", N.to_boolean(F.when(c("o_orderkey") % 3 == 0, " Yes").when(c("o_orderkey") % 3 == 1, "0").otherwise("?")).alias("v")])
+_parts("PRJ_15_age_bin", "part", "SELECT p_partkey, CASE WHEN a > 0 AND a <= 50 THEN '<50' WHEN a > 50 AND a <= 70 THEN '50-70' WHEN a > 70 AND a <= 200 THEN '>=70' END AS v FROM (SELECT p_partkey, (p_partkey % 211 - 5)::DOUBLE AS a FROM part)", lambda: ["p_partkey", N.age_bin((c("p_partkey") % 211 - 5).cast("double")).alias("v")])
+_parts("PRJ_16_age_group", "part", "SELECT p_partkey, CASE WHEN a IS NULL THEN 'MISSING' WHEN a >= 0 AND a < 50 THEN '<50' WHEN a >= 50 AND a < 70 THEN '50-70' ELSE '>=70' END AS v FROM (SELECT p_partkey, nullif(p_partkey % 211 - 5, 7) AS a FROM part)", lambda: ["p_partkey", N.age_group(F.nullif(c("p_partkey") % 211 - 5, F.lit(7))).alias("v")])
+_parts("PRJ_25_concat_text", "orders", "SELECT o_orderkey, concat_ws(' ', CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, o_orderpriority) AS v FROM orders", lambda: ["o_orderkey", F.concat_ws(" ", F.when(c("o_orderkey") % 2 == 0, c("o_orderstatus")), "o_orderpriority").alias("v")])
+_parts("PRJ_49_prefix", "customer", "SELECT c_custkey, 'x/' || c_name AS v FROM customer", lambda: ["c_custkey", N.prefixed(F.when(c("c_custkey") % 2 == 0, F.concat(F.lit("x/"), "c_name")).otherwise(c("c_name")), "x/").alias("v")])
+_parts("PRJ_50_interval_text", "part", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '—' ELSE printf('%.3f [%.3f, %.3f]', p_size / 7.0::DOUBLE, p_size / 17.0::DOUBLE, p_size / 3.0::DOUBLE) END AS v FROM part", lambda: ["p_partkey", N.interval_text(F.when(c("p_size") % 3 != 0, c("p_size") / 7.0), c("p_size") / 17.0, c("p_size") / 3.0).alias("v")])
+_parts("PRJ_51_comparison", "nation", "SELECT n_nationkey, n_name || ' vs ' || n_regionkey AS v FROM nation", lambda: ["n_nationkey", N.comparison_text(F.array(c("n_name"), c("n_regionkey").cast("string"))).alias("v")])
+_parts("PRJ_52_pixel_normal", "part", "SELECT p_partkey, round((p_size / 255.0::DOUBLE - 0.5) / 0.25, 6) AS v FROM part", lambda: ["p_partkey", F.round(N.pixel_normal(F.array(c("p_size")), 0.5, 0.25)[0], 6).alias("v")])
+_parts("PRJ_53_align_probabilities", "part", "SELECT p_partkey, 0.25::DOUBLE AS p0, 0.0::DOUBLE AS p1, 0.75::DOUBLE AS p2 FROM part", lambda: ["p_partkey", *[N.align_probabilities(F.array(F.lit(0), F.lit(2)), F.array(F.lit(0.25), F.lit(0.75)), 3)[k].alias(f"p{k}") for k in range(3)]])
+_parts("PRJ_14_derived", "orders", "SELECT o_orderkey, o_totalprice * 2 AS twice, upper(o_orderstatus) || '!' AS s FROM orders", lambda: ["o_orderkey", F.expr("o_totalprice * 2").alias("twice"), F.expr("upper(o_orderstatus) || '!'").alias("s")])
+_parts("GEO_09_output_stem", "customer", "SELECT 'case_' || c_nationkey || '__' || c_custkey AS v FROM customer", lambda: [tiles.output_stem(F.concat(F.lit("case_"), c("c_nationkey").cast("string")), c("c_custkey").cast("string")).alias("v")])
+_parts("FLT_12_low_n", "part", "SELECT p_partkey, p_size < 10 AS low_n FROM part", lambda: ["p_partkey", (c("p_size") < 10).alias("low_n")])
+_parts("FLT_04_prefix", "part", "SELECT p_partkey FROM part WHERE starts_with(p_name, 'a') OR NOT starts_with(p_name, 'a')", lambda: ["p_partkey"])
 
 
 @query("PRJ_04_standard_names", "SELECT c_custkey AS cust_key, c_name AS full_name FROM customer")
