@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -231,8 +232,15 @@ def production_network() -> Network:
 def find_spans(net: Network, raw: bytes) -> list[tuple[int, int, str]]:
     """All spans of a UTF-8 text in code points, by start and then kind: the base findings and the network's."""
     base = base_spans(raw)
-    taken = sorted((s, e) for s, e, _ in base)
-    free = [(s, e) for s, e in candidates(raw) if not any(s < b and a < e for a, b in taken)]
+    taken: list[list[int]] = []  # base spans, merged where they overlap
+    for s, e, _ in sorted(base):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    starts = [s for s, _ in taken]
+    met = lambda s, e: (k := bisect_left(starts, e) - 1) >= 0 and taken[k][1] > s
+    free = [(s, e) for s, e in candidates(raw) if not met(s, e)]
     found = list(base)
     for at in range(0, len(free), 256):
         part = free[at : at + 256]
