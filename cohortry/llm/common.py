@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than these (space, tab, LF, VT, FF, CR).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +32,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The rows as a Parquet table in the checkpoint folder, and what drops it once its readers have run.
+
+    For large intermediate tables: columns take a fraction of the space of checkpointed rows.
+    """
+    session = df.sparkSession
+    context = session.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+    return session.read.schema(df.schema).parquet(path), drop
+
+
 def source_key(column) -> F.Column:
     """A never-null text that orders like the source itself, null last."""
     return F.when(column.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), column))
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, UTF-8 texts) in runs of about ``limit`` bytes; a longer text is a run of its own."""
     start, held, size = 0, [], 0
     for i, text in enumerate(texts):

@@ -1,45 +1,59 @@
 """Exact Jaccard self-join of documents on word shingles, by token-combination prefixes, and its components.
 
 A token is the hash of a shingle. One pass counts token classes (``CLASS_BITS`` bits of the hash, so the sketch has a
-fixed size); classes far above the mean are frequent. All documents order their tokens rare ones first. With
+fixed size); classes far above the mean are frequent. All documents order their tokens by class, rare ones first. With
 p = n - ceil(0.75 n) + 1, two linked documents share a token among their first p. If a shared one there is rare, both
 index it by itself. Otherwise all they share is frequent; then both prefixes are extended to 2p tokens, hold at least
 p_min + 1 shared ones, and, as gaps add up to less than 5 p_min, some neighbouring two of these are at most 3 places
 apart in both documents. So pairs of frequent tokens up to 3 places apart are indexed instead of single ones. (Sets
 of under 8 tokens are too small for that; those of up to 10 index frequent tokens singly besides.)
 
-Equal sets are one node. Index lists are read twice. First each member meets the list's smallest node; verified links
-make components, so a family of near copies is one component after as many comparisons as it has members. Then only
-pairs of different components are enumerated, those whose prefixes share too little for the threshold go, and the rest
-are verified exactly. Nothing but fixed-size sketches reaches the driver.
+Equal sets are one node. Index lists are read twice. First each member meets the hubs of its lists; verified links
+make components, so most of a family of near copies is one component after a few comparisons a member. Then only
+pairs of different components are enumerated, and those whose prefixes share too little for the threshold go. Of the
+rest, each node's best partners are verified first, and what is still apart after that is verified exactly, all of it.
+Nothing but fixed-size sketches reaches the driver.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, mix64, sequence_hash, window_hashes
+from .common import Words, checkpointed, chunks, mix64, sequence_hash, window_hashes, written
 
 WIDTH = 5
 PERCENT = 75
-CLASS_BITS = 22
+CLASS_BITS = 23
 RANGES = 64  # of the class sketch
-FREQUENT_LEAST = 32
+#: A class's level is the number of these that its count exceeds the mean by, noise (three deviations) aside.
+LEVELS = (3, 6, 10, 16)
 GAP = 3
 BLOOM_BITS = 23
 BLOOM_HASHES = 4
 DOCS_PER_RANGE = 4096
+FLUSH_ENTRIES = 1 << 18
+PAIRS_AT_ONCE = 1 << 19
+PAIR_KEY_SHIFT = 4
+#: Nodes whose sets a verifying group may hold of either side, and the most blocks they are dealt to.
+BLOCK_NODES = 1024
+MOST_BLOCKS = 64
 _FIRST, _SECOND = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """The column's texts one by one, so that no second copy of a whole batch is held."""
+    return (value.as_py() for value in column)
+
+
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """Sorted distinct token hashes of each text; fewer words than a shingle are one token, none are none."""
     for _, raws in chunks(texts):
         words = Words([raw.lower() for raw in raws])  # bytes.lower changes A-Z only
@@ -67,7 +81,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         seen, counts, any_set = set(), np.zeros(1 << CLASS_BITS, np.int32), False
         for batch in batches:
             sizes, nodes = [], []
-            for tokens in shingle_sets(batch.column(1).to_pylist()):
+            for tokens in shingle_sets(_texts(batch.column(1))):
                 node = node_id(tokens) if len(tokens) else None
                 sizes.append(len(tokens))
                 nodes.append(node)
@@ -84,31 +98,35 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, part int, counts binary")
 
 
-def frequent_classes(signed: DataFrame) -> np.ndarray:
-    """One bit per class, as packed bytes (2^22 bits: 512 kB whatever the input): is it frequent?"""
+def class_levels(signed: DataFrame) -> np.ndarray:
+    """The level of each class, 0 for rare to len(LEVELS) for frequent: 8 MB whatever the input."""
 
     def mark(found: pa.Table) -> pa.Table:
         total = np.zeros((1 << CLASS_BITS) // RANGES, np.int64)
         for blob in found["counts"]:
             total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
         mean = total.mean()
-        bits = np.packbits(total > mean + 6 * np.sqrt(mean) + FREQUENT_LEAST)
-        return pa.table({"part": found["part"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+        level = np.searchsorted(np.array(LEVELS), total - mean - 3 * np.sqrt(mean)).astype(np.uint8)
+        return pa.table({"part": found["part"].slice(0, 1), "levels": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())})
 
-    rows = signed.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(mark, "part int, bits binary").collect()
-    whole = np.zeros((1 << CLASS_BITS) // 8, np.uint8)
+    rows = signed.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(mark, "part int, levels binary").collect()
+    whole = np.zeros(1 << CLASS_BITS, np.uint8)
     step = len(whole) // RANGES
     for r in rows:
-        whole[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
+        whole[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
     return whole
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """The keys under which a set is indexed, and how many of them are single rare tokens."""
+def index_keys(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
+    """The keys under which a set is indexed, and how many of them are single rare tokens.
+
+    Tokens stand in the order of their class's level, then of their hash: the same order in every set.
+    """
     n = len(tokens)
     prefix = n - -(-PERCENT * n // 100) + 1
-    classes = (tokens >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
-    often = (frequent[classes >> 3] >> (7 - (classes & 7)) & 1).astype(bool)
+    level = levels[(tokens >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
+    order = np.argsort(level, kind="stable")
+    tokens, often = tokens[order], level[order] == len(LEVELS)
     rare = tokens[~often][:prefix]
     if len(rare) == prefix:
         return rare, prefix
@@ -118,16 +136,17 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, in
         keys.append(common[: prefix - len(rare)])
     if n >= 8:
         within = common[: 2 * prefix - len(rare)]
-        keys += [mix64(within[:-gap] * _FIRST + within[gap:] * _SECOND) for gap in range(1, GAP + 1) if len(within) > gap]
+        # These keys fall into the first ranges only, so that two documents meet in few groups however many they share.
+        keys += [mix64(within[:-gap] * _FIRST + within[gap:] * _SECOND) >> np.uint64(PAIR_KEY_SHIFT) for gap in range(1, GAP + 1) if len(within) > gap]
     return np.concatenate(keys), len(rare)
 
 
 _ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("rare", "<i4")])
 
 
-def index_lists(docs: DataFrame, frequent: np.ndarray, ranges: int) -> DataFrame:
+def index_lists(docs: DataFrame, levels: np.ndarray, ranges: int) -> DataFrame:
     """(key, node, n, rare): the entries of all index lists with two nodes or more, each node once a list."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
     shift = np.uint64(64 - (ranges.bit_length() - 1))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +165,7 @@ def index_lists(docs: DataFrame, frequent: np.ndarray, ranges: int) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
         for batch in batches:
-            for tokens in shingle_sets(batch.column(0).to_pylist()):
+            for tokens in shingle_sets(_texts(batch.column(0))):
                 if not len(tokens) or (node := node_id(tokens)) in seen:
                     continue
                 seen.add(node)
@@ -155,9 +174,9 @@ def index_lists(docs: DataFrame, frequent: np.ndarray, ranges: int) -> DataFrame
                 entries["key"], entries["node"], entries["n"], entries["rare"] = keys, node, len(tokens), rare
                 held.append(entries)
                 size += len(entries)
-            if size > 1 << 20:
-                yield flush()
-                held, size = [], 0
+                if size > FLUSH_ENTRIES:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
@@ -181,18 +200,26 @@ def index_lists(docs: DataFrame, frequent: np.ndarray, ranges: int) -> DataFrame
             again[1:] |= same
             again[:-1] |= same
         entries = entries[again]
-        return pa.table({"key": entries["key"].view(np.int64), "node": entries["node"], "n": entries["n"], "rare": entries["rare"]})
+        if not len(entries):
+            return pa.table({"key": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "rare": pa.array([], pa.int32()), "hub": pa.array([], pa.int64()), "hub_n": pa.array([], pa.int32())})
+        start = np.flatnonzero(np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]]))
+        sizes = np.diff(np.append(start, len(entries)))
+        # A list's hub is the member that meets most others in this range's lists: of near copies, a central one.
+        _, which = np.unique(entries["node"], return_inverse=True)
+        met = np.bincount(which, np.repeat(sizes, sizes))[which]
+        order = np.lexsort((entries["node"], -met, np.repeat(np.arange(len(start)), sizes)))
+        hub = entries[order[start]]
+        return pa.table({"key": entries["key"].view(np.int64), "node": entries["node"], "n": entries["n"], "rare": entries["rare"], "hub": np.repeat(hub["node"], sizes), "hub_n": np.repeat(hub["n"], sizes)})
 
-    return docs.select("text").mapInArrow(emit, "part int, entries binary").groupBy("part").applyInArrow(collect, "key bigint, node bigint, n int, rare int")
+    return docs.select("text").mapInArrow(emit, "part int, entries binary").groupBy("part").applyInArrow(collect, "key bigint, node bigint, n int, rare int, hub bigint, hub_n int")
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): each node with the smallest node of its lists that it meets most often, if sizes allow a link."""
-    smallest = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
-    met = lists.join(smallest, "key").where(F.col("node") != F.col("hub.node")).where(_sizes_allow(F.col("n"), F.col("hub.n")))
-    counts = met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("rare").alias("rare"))
-    best = counts.where(F.col("met") * 5 >= F.col("rare")).groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
-    return best.select("a", "b")
+def star_pairs(lists: DataFrame, partners: int = 3) -> DataFrame:
+    """(a, b): each node with the hubs that it meets most often, if sizes allow a link."""
+    met = lists.where(F.col("node") != F.col("hub")).where(_sizes_allow(F.col("n"), F.col("hub_n")))
+    counts = met.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("rare").alias("rare"))
+    best = counts.where(F.col("met") * 5 >= F.col("rare")).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b")))
+    return best.where(F.col("nth") <= partners).select("a", "b")
 
 
 def _sizes_allow(n: F.Column, m: F.Column) -> F.Column:
@@ -209,40 +236,63 @@ def cross_pairs(lists: DataFrame, components: DataFrame, ranges: int) -> DataFra
     def pairs(found: pa.Table) -> pa.Table:
         key, node, component = (found[c].to_numpy() for c in ("key", "node", "component"))
         n, rare = found["n"].to_numpy(), found["rare"].to_numpy()
-        order = np.lexsort((n, key))
+        order = np.lexsort((component, key))
         key, node, component, n, rare = key[order], node[order], component[order], n[order], rare[order]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        end = np.append(start[1:], len(key))
-        low = np.minimum.reduceat(component, start) if len(start) else start
-        high = np.maximum.reduceat(component, start) if len(start) else start
-        mixed = low != high
-        left, right = [], []
-        for a, b in zip(start[mixed], end[mixed]):
-            # Members by size: a member's partners are those behind it up to 4/3 of its size.
-            reach = np.searchsorted(n[a:b] * PERCENT, n[a:b] * 100, side="right")
-            counts = reach - np.arange(1, b - a + 1)
-            i = np.repeat(np.arange(b - a), counts)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
-            apart = component[a + i] != component[a + j]
-            left.append(a + i[apart])
-            right.append(a + j[apart])
-        if not left:
+        if not len(key):
             return fields.empty_table()
-        i, j = np.concatenate(left), np.concatenate(right)
-        swap = node[i] > node[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        order = np.lexsort((node[j], node[i]))
-        i, j = i[order], j[order]
-        first = np.flatnonzero(np.concatenate([[True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])])) if len(i) else np.empty(0, np.int64)
-        met = np.diff(np.append(first, len(i)))
-        i, j = i[first], j[first]
-        return pa.table([pa.array(x, f.type) for x, f in zip((node[i], node[j], n[i], n[j], rare[i], rare[j], met), fields)], schema=fields)
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        start = np.flatnonzero(fresh)
+        end = np.append(start[1:], len(key))
+        block = np.flatnonzero(fresh | np.concatenate([[True], component[1:] != component[:-1]]))
+        # A member meets those of its list behind its own component: pairs of one component are never made.
+        behind = np.repeat(np.append(block[1:], len(key)), np.diff(np.append(block, len(key))))
+        counts = np.repeat(end, end - start) - behind
+        names, place = np.unique(node, return_inverse=True)
+        width = np.int64(len(names))
+        codes, times = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[np.ndarray] = []
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        at = waiting = 0
+        while at < len(counts):
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS_AT_ONCE, side="right")) - 1)
+            some = counts[at:stop]
+            i = np.repeat(np.arange(at, stop), some)
+            j = np.repeat(behind[at:stop], some) + np.arange(len(i)) - np.repeat(upto[at:stop] - upto[at], some)
+            fits = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * PERCENT
+            i, j = place[i[fits]], place[j[fits]]
+            held.append(np.minimum(i, j) * width + np.maximum(i, j))
+            waiting += len(held[-1])
+            at = stop
+            if waiting > 4 * PAIRS_AT_ONCE or at == len(counts):  # a pair is held once, with how often it was met
+                fresh_codes, fresh_times = np.unique(np.concatenate(held), return_counts=True)
+                merged, which = np.unique(np.concatenate([codes, fresh_codes]), return_inverse=True)
+                codes, times = merged, np.bincount(which, np.concatenate([times, fresh_times]), minlength=len(merged)).astype(np.int64)
+                held, waiting = [], 0
+        first_of = np.full(len(names), len(node), np.int64)
+        np.minimum.at(first_of, place, np.arange(len(node)))
+        i, j = codes // width, codes % width
+        a, b = first_of[i], first_of[j]
+        return pa.table([pa.array(x, f.type) for x, f in zip((names[i], names[j], n[a], n[b], rare[a], rare[b], times), fields)], schema=fields)
 
     found = named.select("part", "key", "node", "component", "n", "rare").groupBy("part").applyInArrow(pairs, "a bigint, b bigint, n_a int, n_b int, rare_a int, rare_b int, met int")
     whole = found.groupBy("a", "b").agg(F.sum("met").alias("met"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "rare_a", "rare_b")])
     # Of the document whose rare prefix ends first, all shared tokens are among those met or behind its prefix.
     most = F.col("met") + F.greatest(F.col("n_a") - F.col("rare_a"), F.col("n_b") - F.col("rare_b"))
-    return whole.where(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT).select("a", "b")
+    return whole.where(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT).select("a", "b", "met")
+
+
+def best_partners(pairs: DataFrame, partners: int = 2) -> DataFrame:
+    """Each node's pairs of the most shared keys."""
+    both = pairs.select("a", "b", "met").union(pairs.select("b", "a", "met"))
+    ranked = both.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).where(F.col("nth") <= partners)
+    return ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def still_apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs whose nodes are in different components; a node without one is its own."""
+    of = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -274,18 +324,48 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             for k in range(BLOOM_HASHES):
                 spot = batch.column(2 + k).to_numpy()
                 let &= (bits[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
-            part = batch.filter(pa.array(let))
-            ids, nodes_, sets = part.column(0).to_pylist(), [], []
-            for tokens in shingle_sets(part.column(1).to_pylist()):
-                nodes_.append(node_id(tokens) if len(tokens) else None)
-                sets.append(tokens.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes_, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "node", "tokens"])
+            chosen = batch.filter(pa.array(let))
+            for start in range(0, chosen.num_rows, 512):
+                part = chosen.slice(start, 512)
+                nodes_, sets = [], []
+                for tokens in shingle_sets(_texts(part.column(1))):
+                    nodes_.append(node_id(tokens) if len(tokens) else None)
+                    sets.append(tokens.view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes_, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "node", "tokens"])
 
     sets = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[s.alias(f"s{k}") for k, s in enumerate(_spots(F.col("doc_id").cast("bigint")))])
     sets = sets.where("doc_id is not null").mapInArrow(run, "doc_id bigint, node bigint, tokens array<bigint>").join(wanted, ["node", "doc_id"], "left_semi").select("node", "tokens")
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "tokens": "of_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "tokens": "of_b"}), "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(common * 100 >= (F.size("of_a") + F.size("of_b") - common) * PERCENT).select("a", "b")
+    # Nodes are dealt to blocks; a group is a pair of blocks and gets each set it needs once, however many pairs use it.
+    blocks = max(1, min(MOST_BLOCKS, math.isqrt(wanted.count() // BLOCK_NODES) + 1))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    dealt = pairs.select("a", "b", (block("a") * blocks + block("b")).alias("part"))
+    needed = dealt.select("part", F.explode(F.array("a", "b")).alias("node")).distinct()
+    shipped = needed.join(sets, "node").select((F.col("part") + 0).alias("group"), "node", "tokens")
+
+    def check(these: pa.Table, found: pa.Table) -> pa.Table:
+        own = dict(zip(found["node"].to_pylist(), found["tokens"].combine_chunks()))
+        these = these.sort_by("a")
+        a, b = these["a"].to_numpy(), these["b"].to_numpy()
+        keep = np.zeros(len(a), bool)
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else []
+        for start, end in zip(first, np.append(first[1:], len(a)) if len(a) else []):
+            if (mine := own.get(a[start])) is None:
+                continue
+            mine = np.sort(mine.values.to_numpy())
+            for at in range(start, end, 64):
+                here = [k for k in range(at, min(end, at + 64)) if b[k] in own]
+                others = [own[b[k]].values.to_numpy() for k in here]
+                if not others:
+                    continue
+                tokens = np.concatenate(others)
+                place = np.searchsorted(mine, tokens)
+                place[place == len(mine)] = 0
+                sizes = np.fromiter(map(len, others), np.int64, len(others))
+                common = np.add.reduceat((mine[place] == tokens).astype(np.int64), np.cumsum(sizes) - sizes)
+                keep[here] = common * 100 >= (len(mine) + sizes - common) * PERCENT
+        return pa.table({"a": a[keep], "b": b[keep]})
+
+    return dealt.groupBy("part").cogroup(shipped.groupBy("group")).applyInArrow(check, "a bigint, b bigint")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -323,15 +403,19 @@ def similar_components(docs: DataFrame) -> DataFrame:
     own = signed.where("part is null")
     n_docs = own.count()
     ranges = 1 << max(3, min(12, (n_docs // DOCS_PER_RANGE).bit_length()))
-    frequent = frequent_classes(signed)
+    levels = class_levels(signed)
     nodes = checkpointed(own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    lists = checkpointed(index_lists(docs, frequent, ranges))
+    lists, drop_lists = written(index_lists(docs, levels, ranges))
     known = nodes.where("doc_id is not null")
     stars = checkpointed(verified(docs, known, checkpointed(star_pairs(lists))))
     first = connected_components(stars)
-    rest = verified(docs, known, checkpointed(cross_pairs(lists, first, ranges)))
-    # The first components as edges to their smallest node, and the links between them.
-    last = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
+    pairs = checkpointed(cross_pairs(lists, first, ranges))
+    drop_lists()
+    # Components go on as edges to their smallest node, with the links between them.
+    edges = lambda components: components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    second = connected_components(edges(first).union(verified(docs, known, checkpointed(best_partners(pairs)))))
+    rest = verified(docs, known, checkpointed(still_apart(pairs, second)))
+    last = connected_components(edges(second).union(rest))
     named = nodes.join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component_id")

@@ -328,7 +328,7 @@ def test_jaccard_against_brute_force(spark):
 def test_frequent_tokens_are_found_in_pairs():
     """Two sets of frequent tokens only, at the threshold, share an index key for any draw."""
     rng = np.random.default_rng(3)
-    everything = np.full((1 << jaccard.CLASS_BITS) // 8, 255, np.uint8)
+    everything = np.full(1 << jaccard.CLASS_BITS, len(jaccard.LEVELS), np.uint8)
     for n in list(range(1, 40)) + [77, 150, 400]:
         for _ in range(30):
             pool = rng.integers(0, 2**63, 3 * n + 8, dtype=np.uint64) * np.uint64(2)
