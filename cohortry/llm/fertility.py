@@ -3,7 +3,9 @@
 A public vocabulary reads prose of its languages with few tokens, no fallback to bytes and a wide spread of
 tokens; noise, wrong encodings and repeated text stand out in these three figures. Bands are kept per script,
 from quartiles over all documents that pass the base rules, so scripts the vocabulary knows less are judged
-among their own. A band reaches ``REACH`` quartile ranges beyond the quartiles: only outliers are turned away.
+among their own. The spread of tokens falls with a text's length, so its band lies around the script's own line
+over the logarithm of the word count. A band reaches ``REACH`` quartile ranges beyond the quartiles; texts that the
+vocabulary reads mostly as bytes go whatever the rest of their script is like.
 """
 
 from __future__ import annotations
@@ -13,17 +15,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, checkpointed, chunks, window_hashes
 from .tokens import PieceEncoder
 
-REACH = 4.0
+REACH = 1.25
 #: A band is at least this wide on each side, in the measure's own unit.
-LEAST_MARGIN = {"chars_per_token": 0.5, "byte_share": 0.05, "token_spread": 0.1}
+LEAST_MARGIN = {"chars_per_token": 0.1, "byte_share": 0.05, "token_spread": 0.02}
 #: Figures of short texts scatter: a text of n words may be off by this over the square root of n besides.
-SCATTER = {"chars_per_token": 6.0, "byte_share": 1.0, "token_spread": 1.0}
+SCATTER = {"chars_per_token": 1.0, "byte_share": 0.2, "token_spread": 0.1}
+#: Texts with a larger share of byte tokens are not read by the vocabulary at all, however common they are.
+BYTE_CEILING = 0.75
+#: Change of the token spread when a text doubles, for scripts of under SLOPE_ROWS documents.
+SLOPE, SLOPE_ROWS = -0.05, 30
 MEASURES = tuple(LEAST_MARGIN)
 # First and last letters of scripts.
 SCRIPTS = {
@@ -146,30 +152,38 @@ def document_measures(docs: DataFrame, vocabulary: str | None = None) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _FIELDS)
 
 
+def _level(measure: str) -> Column:
+    """A measure free of length: of the token spread, what is left over the script's line."""
+    return F.col(measure) - F.col("slope") * F.log2(F.greatest("n_words", F.lit(1))) if measure == "token_spread" else F.col(measure)
+
+
 def bands(measured: DataFrame, reach: float = REACH) -> DataFrame:
-    """script, and low and high ends of each measure's band, from the quartiles of all documents of the script."""
-    quartiles = measured.groupBy("script").agg(*[F.percentile_approx(m, [0.25, 0.75], 2000).alias(m) for m in MEASURES])
+    """script, slope, and low and high ends of each measure's band, from the quartiles of all documents of the script."""
+    fitted = F.regr_slope("token_spread", F.log2(F.greatest("n_words", F.lit(1))))
+    slope = F.coalesce(F.when(F.count("token_spread") >= SLOPE_ROWS, fitted), F.lit(SLOPE))
+    slopes = measured.groupBy("script").agg(slope.alias("slope"))
+    quartiles = measured.join(F.broadcast(slopes), "script").groupBy("script", "slope").agg(*[F.percentile_approx(_level(m), [0.25, 0.75], 2000).alias(m) for m in MEASURES])
     ends = []
     for m in MEASURES:
         margin = F.greatest((F.col(m)[1] - F.col(m)[0]) * reach, F.lit(LEAST_MARGIN[m]))
         ends += [(F.col(m)[0] - margin).alias(f"{m}_low"), (F.col(m)[1] + margin).alias(f"{m}_high")]
-    return quartiles.select("script", *ends)
+    return quartiles.select("script", "slope", *ends)
 
 
 def quality_rules(docs: DataFrame, vocabulary: str | None = None, reach: float = REACH) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the measures.
 
     ``base_failed``: under 10 words, or over 20 % of them in repeated 5-word windows. ``kept`` is false then, and
-    else says that all three measures lie in the script's bands. Null and empty texts have no words and fail.
+    else says that all three measures lie in the script's bands and the byte share is at most ``BYTE_CEILING``. Null and empty texts have no words and fail.
     Repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
     """
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
     measured = checkpointed(document_measures(docs, vocabulary)).withColumn("base_failed", failed)
     # One row per script of the fixed list above: 15 at most.
     limits = F.broadcast(bands(measured.where(~F.col("base_failed")), reach))
-    inside = F.lit(True)
+    inside = F.coalesce(F.col("byte_share") <= BYTE_CEILING, F.lit(True))
     for m in MEASURES:
         scatter = F.lit(SCATTER[m]) / F.sqrt(F.greatest("n_words", F.lit(1)))
-        inside = inside & F.coalesce(F.col(m).between(F.col(f"{m}_low") - scatter, F.col(f"{m}_high") + scatter), F.lit(True))
+        inside = inside & F.coalesce(_level(m).between(F.col(f"{m}_low") - scatter, F.col(f"{m}_high") + scatter), F.lit(True))
     judged = measured.join(limits, "script", "left").withColumn("kept", ~F.col("base_failed") & inside)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *MEASURES)

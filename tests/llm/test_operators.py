@@ -243,6 +243,20 @@ def test_quality_rules(edge_docs, no_docs, spark):
     assert all(kept[k] for k in range(40))
 
 
+def test_quality_rules_reject_noise(spark):
+    texts = {k: prose(k, 60 + 5 * k) for k in range(90)}
+    for k in range(3):  # words with signs hung on, cells, and a script that holds noise only
+        found = prose(500 + k, 150).split()
+        texts[100 + k] = " ".join(w + "***$$$&&&%%%###"[3 * (j % 5) :][:3] for j, w in enumerate(found))
+        texts[200 + k] = " | ".join(found)
+        texts[400 + k] = "".join(chr(0x4E00 + (j * 7919 + k) % 20000) + (" " if j % 9 == 0 else "") for j in range(900))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fertility.quality_rules(df).collect()}
+    assert not any(got[k]["base_failed"] for k in range(90)) and sum(got[k]["kept"] for k in range(90)) >= 87
+    assert [k for k, r in got.items() if k >= 100 and r["kept"]] == []
+    assert sum(not r["base_failed"] for k, r in got.items() if k >= 100) == 9
+
+
 # -- 6: site quality --
 
 
