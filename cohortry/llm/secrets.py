@@ -2,7 +2,9 @@
 
 Candidates are all runs of key-like characters that are long enough and mix classes as prose does not. The network
 (numpy only) reads the candidate's characters and its surroundings: an embedding of character classes, two
-convolutions with maxima over the candidate and over its context, and a logistic output. It is trained on labelled
+convolutions with maxima over the candidate and over its context, and a logistic output. Longer candidates than its
+window are read in overlapping windows, and the highest score counts; of a candidate that meets pattern findings, the
+parts outside them are candidates. It is trained on labelled
 findings made by rule: secrets of public formats and look-alikes (words, numbers, links, mail addresses, paths) in
 invented contexts. A held-out part calibrates its output (Platt scaling) and sets the threshold: the highest at
 which recall stays at least ``RECALL``. Pattern findings always stay; the network adds spans of kind ``model``.
@@ -12,10 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,9 @@ HEX = re.compile(rb"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "model")
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")  # every finding of ASSIGN holds one of these, in lower case
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-WINDOW, CONTEXT = 64, 24
+LEAST_RUN = 16
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
+WINDOW, CONTEXT, STRIDE = 64, 24, 16
 RECALL = 0.99
 _HEX_MAP = bytes(0x68 if chr(c) in "0123456789abcdef" else 0x20 for c in range(256))
 _KEY_MAP = bytes(0x6B if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_=-") else 0x20 for c in range(256))
@@ -53,19 +57,36 @@ def base_spans(raw: bytes) -> list[tuple[int, int, str]]:
     return found
 
 
+def _key_like(word: bytes) -> bool:
+    return bool((re.search(rb"\d", word) and re.search(rb"[A-Za-z]", word)) or re.search(rb"[a-z][A-Z]+[a-z]", word))
+
+
 def candidates(raw: bytes) -> list[tuple[int, int]]:
     """Byte spans of key-like runs that hold a digit and a letter, or change case inside."""
-    marked, run, out = raw.translate(_KEY_MAP), b"k" * 16, []
+    marked, run, out = raw.translate(_KEY_MAP), b"k" * LEAST_RUN, []
     at = marked.find(run)
     while at >= 0:
         end = CANDIDATE.match(raw, at).end()
-        word = raw[at:end]
-        if (re.search(rb"\d", word) and re.search(rb"[A-Za-z]", word)) or re.search(rb"[a-z][A-Z]+[a-z]", word):
+        if _key_like(raw[at:end]):
             out.append((at, end))
         at = marked.find(run, end)
     return out
 
 
+def outside(raw: bytes, start: int, end: int, taken: list[list[int]]) -> list[tuple[int, int]]:
+    """The candidates that are left of one outside ``taken`` (merged spans in order, all of which meet it)."""
+    if not taken:
+        return [(start, end)]
+    edges = [start, *(x for span in taken for x in span), end]
+    return [(s, e) for s, e in zip(edges[::2], edges[1::2]) if e - s >= LEAST_RUN and _key_like(raw[s:e])]
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Windows of at most WINDOW bytes over a candidate, STRIDE apart; the last one ends with it."""
+    last = max(start, end - WINDOW)
+    return [(s, min(end, s + WINDOW)) for s in [*range(start, last, STRIDE), last]]
+
+
 def _codes(raw: bytes) -> np.ndarray:
     """Small codes of bytes: 0 none, letters 1-26 (case apart 27-52), digits 53-62, signs by themselves, rest."""
     return _CODE[np.frombuffer(raw, np.uint8)]
@@ -81,10 +102,11 @@ for _k, _c in enumerate("+/_.=-\"':@, \n;()[]{}<>#*?!&%$|\\~"):
 N_CODES = 95
 
 
-def features(raw: bytes, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of a candidate (its first WINDOW bytes) and of the CONTEXT bytes on either side."""
+def features(raw: bytes, start: int, end: int, window: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a window of a candidate (by default its first) and of the CONTEXT bytes on either side of the candidate."""
     inner, outer = np.zeros(WINDOW, np.int64), np.zeros(2 * CONTEXT, np.int64)
-    word = raw[start : min(end, start + WINDOW)]
+    first, last = window or windows(start, end)[0]
+    word = raw[first:last]
     inner[: len(word)] = _codes(word)
     left, right = raw[max(0, start - CONTEXT) : start], raw[end : end + CONTEXT]
     if left:
@@ -238,15 +260,19 @@ def find_spans(net: Network, raw: bytes) -> list[tuple[int, int, str]]:
             taken[-1][1] = max(taken[-1][1], e)
         else:
             taken.append([s, e])
-    starts = [s for s, _ in taken]
-    met = lambda s, e: (k := bisect_left(starts, e) - 1) >= 0 and taken[k][1] > s
-    free = [(s, e) for s, e in candidates(raw) if not met(s, e)]
-    found = list(base)
-    for at in range(0, len(free), 256):
-        part = free[at : at + 256]
-        codes = [features(raw, s, e) for s, e in part]
+    starts, ends = [s for s, _ in taken], [e for _, e in taken]
+    free = []
+    for s, e in candidates(raw):
+        first, last = bisect_right(ends, s), bisect_left(starts, e)
+        free += outside(raw, s, e, [[max(s, a), min(e, b)] for a, b in taken[first:last]])
+    # Windows of candidates one after the other, in bounded batches.
+    best = np.zeros(len(free))
+    views = ((i, s, e, w) for i, (s, e) in enumerate(free) for w in windows(s, e))
+    while part := list(islice(views, 256)):
+        codes = [features(raw, s, e, w) for _, s, e, w in part]
         scores = net.score(np.stack([c[0] for c in codes]), np.stack([c[1] for c in codes]))
-        found += [(s, e, "model") for (s, e), p in zip(part, scores) if p >= net.threshold]
+        np.maximum.at(best, [i for i, *_ in part], scores)
+    found = base + [(s, e, "model") for (s, e), p in zip(free, best) if p >= net.threshold]
     if not found:
         return []
     if not raw.isascii():  # byte to code point: count the bytes that begin a character

@@ -425,6 +425,18 @@ def test_secret_scan(edge_docs, no_docs):
     assert "0123456789abcdef" not in out[9] and "AKIA" not in out[9] and out[9].startswith("x ") and out[1] is None
 
 
+def test_secrets_behind_other_key_characters():
+    net, key = secrets.production_network(), "ghp_" + "aB3dE6gH9jK2mN5pQ8rS1tU4vW7xY0zA2bC5"
+    path = "docs/some/long/path/of/the/manual/for/readers/and/writers/of/many/kinds/of/texts/chapter12/"
+    assert secrets.find_spans(net, f"see {path} here".encode()) == []
+    text = f'see key = "{path}{key}" here'
+    (found,) = secrets.find_spans(net, text.encode())
+    assert found[0] <= text.index(key) and found[1] >= text.index(key) + len(key) and found[2] == "model"
+    text = f'key = "{"0f" * 20}/{key}" here'  # the pattern finding ends, the rest is scored
+    spans = secrets.find_spans(net, text.encode())
+    assert [k for *_, k in spans] == ["hex", "model"] and key not in secrets.redact(text, spans)
+
+
 def test_secret_patterns_against_brute_force():
     rng = np.random.default_rng(2)
     parts = ["token", "TOKEN", "api_key", "apikey", "passwd", " = ", ":", "'", '"', "abc", "abcdef", "0f" * 12, "AKIA", "ABCDEFGHIJKLMNOP", " ", "é", "\n", "ſecret=abcdefgh", "secret"]
