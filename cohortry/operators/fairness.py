@@ -81,6 +81,19 @@ def gap_intervals(predictions: DataFrame, group: str, replicates: int) -> DataFr
     return inference.interval(gaps, ["delta_ba", "delta_f1", "tpr_gap", "fpr_gap"])
 
 
+def all_gap_intervals(predictions: DataFrame, group: str, k: int, replicates: int) -> DataFrame:
+    """Bootstrap intervals of all seven gaps between groups, those of AUC included: whole rows are resampled together."""
+    rows = inference.resampled_rows(predictions, replicates)
+    several = rows.groupBy("b").agg(F.count_distinct("y_true").alias("classes")).where("classes >= 2").select("b")
+    overall = several.join(metrics.macro_auc(metrics.one_vs_rest(rows, ["b"]), k, ["b"]), "b", "left").withColumnRenamed("auc", "overall")
+    known = rows.where(F.col(group).isNotNull()).withColumn("group", F.col(group).cast("string"))
+    keys = ["b", "group"]
+    out = metrics.summary(metrics.per_class(metrics.cells(known, keys), keys), keys).where("n_supported >= 2")
+    out = out.join(metrics.macro_auc(metrics.one_vs_rest(known, keys), k, keys), keys, "left").join(overall, "b")
+    gaps = gap_summary(out, F.col("overall"), keys=["b", "overall"])
+    return inference.interval(gaps, ["delta_ba", "delta_f1", "delta_auc", "avg_gap", "tpr_gap", "fpr_gap", "auc_es"])
+
+
 def error_analysis(predictions: DataFrame, group: str, k: int, min_group: int = MIN_GROUP) -> DataFrame:
     """Errors of each group of enough rows and at least two true classes."""
     known = predictions.where(F.col(group).isNotNull()).withColumn("group", F.col(group).cast("string"))

@@ -61,6 +61,21 @@ def bootstrap_summary(predictions: DataFrame, replicates: int, keys: list[str] =
     return interval(each, ["accuracy", "balanced_accuracy", "f1_macro"], keys, level)
 
 
+def sensitivity_intervals(predictions: DataFrame, replicates: int, level: float = 0.95) -> DataFrame:
+    """(label, metric, ci_low, ci_high, n_valid) of the sensitivity of each class, from the draws of ``bootstrap_summary``."""
+    each = metrics.per_class(resampled_cells(metrics.cells(predictions), replicates), ["b"]).where("support > 0")
+    several = each.groupBy("b").agg(F.count(F.lit(1)).alias("classes")).where("classes >= 2")
+    return interval(each.join(several, "b", "left_semi").withColumn("sensitivity", F.col("recall")), ["sensitivity"], ["label"], level)
+
+
+def resampled_rows(predictions: DataFrame, replicates: int) -> DataFrame:
+    """(b, columns of ``predictions``): B x n draws of whole rows, numbered in uid order, for metrics of scores."""
+    numbered = predictions.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("uid")) - 1)
+    n = predictions.count()
+    draws = predictions.sparkSession.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    return draws.withColumn("i", draw(F.col("b"), F.col("k"), F.lit(n)).cast("int")).join(numbered, "i").drop("i", "k")
+
+
 def resampled_auc(scored: DataFrame, replicates: int) -> DataFrame:
     """AUC of each bootstrap replicate of rows (uid, positive, score): needs B x n draws, for tables of that size.
 

@@ -11,6 +11,8 @@ from ..operators import cohorts, fairness, generalize, inference, metrics
 from .base import P2, P3, auc_sql, class_sql, predictions2, predictions3, query, resample_sql, rounded, table
 
 B = 100
+#: Replicates of the reference. The queries of B replicates are the forms that SQL can check; those named _full do the whole job.
+FULL_B = 1000
 _DRAW = draw_sql("{b}", "{i}", "{n}")
 _SCORED3 = "x AS (SELECT grp, label, y_true = label AS positive, proba[label + 1] AS score FROM p, range(3) t(label))"
 _ONE = "x AS (SELECT 0 AS one, y_true = 1 AS positive, score FROM p)"
@@ -271,7 +273,11 @@ def join06(spark, sf):
 
 @query("OOD_04_display", f"WITH {P3}, {resample_sql('cells', B, _DRAW)}, {class_sql('d', 'b')}, q AS (SELECT quantile_cont(balanced_accuracy, 0.025) AS lo, avg(balanced_accuracy) AS mid, quantile_cont(balanced_accuracy, 0.975) AS hi FROM m) SELECT printf('%.3f [%.3f, %.3f]', mid, lo, hi) AS shown FROM q")
 def ood04(spark, sf):
-    drawn = inference.resampled_cells(metrics.cells(predictions3(spark, sf)), B)
+    return _display(spark, sf, B)
+
+
+def _display(spark: SparkSession, sf: str, replicates: int) -> DataFrame:
+    drawn = inference.resampled_cells(metrics.cells(predictions3(spark, sf)), replicates)
     each = metrics.summary(metrics.per_class(drawn, ["b"]), ["b"])
     q = each.agg(F.avg("balanced_accuracy").alias("mid"), F.percentile("balanced_accuracy", [0.025, 0.975]).alias("q"))
     return q.select(N.interval_text(F.col("mid"), F.col("q")[0], F.col("q")[1]).alias("shown"))
@@ -287,3 +293,45 @@ def ctr03(spark, sf):
 def ctr04(spark, sf):
     auc, macro = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")), F.col("o_custkey").cast("double")
     return table(spark, sf, "orders").select("o_orderkey", F.coalesce(auc, macro).alias("auc"), F.when(auc.isNotNull(), "auc").otherwise("auc_ovr_macro").alias("key"))
+
+
+# -- the reference's number of replicates and all its measures: checked by rows and by tests --
+@query("MET_13_permutation_test_full")
+def met13_full(spark, sf):
+    return rounded(inference.permutation_test(_scored2(spark, sf), FULL_B))
+
+
+@query("MET_15_diagnostics_full")
+def met15_full(spark, sf):
+    p = predictions2(spark, sf)
+    test = inference.permutation_test(_scored2(spark, sf), FULL_B).select(F.col("observed").alias("auc"), "null_mean")
+    m = metrics.summary(metrics.per_class(metrics.cells(p))).select("balanced_accuracy", F.col("n_supported").cast("int").alias("k_observed"))
+    return rounded(test.join(m))
+
+
+@query("BST_01_intervals_full")
+def bst01_full(spark, sf):
+    p = predictions3(spark, sf)
+    classes = inference.sensitivity_intervals(p, FULL_B).select(F.concat(F.lit("sensitivity_"), "label").alias("metric"), "ci_low", "ci_high", "n_valid")
+    return rounded(inference.bootstrap_summary(p, FULL_B).unionByName(classes))
+
+
+@query("BST_01_auc_full")
+def bst01_auc_full(spark, sf):
+    return rounded(inference.interval(inference.resampled_auc(_scored2(spark, sf), FULL_B), ["auc"]).drop("metric"))
+
+
+@query("BST_02_gap_intervals_full")
+def bst02_full(spark, sf):
+    return rounded(fairness.all_gap_intervals(predictions2(spark, sf), "grp", 2, FULL_B))
+
+
+@query("BST_03_difference_intervals_full")
+def bst03_full(spark, sf):
+    p = predictions2(spark, sf)
+    return rounded(generalize.difference_interval(p.where("grp = 'en'"), p.where("grp <> 'en'"), FULL_B))
+
+
+@query("OOD_04_display_full")
+def ood04_full(spark, sf):
+    return _display(spark, sf, FULL_B)

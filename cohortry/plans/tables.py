@@ -755,7 +755,7 @@ def ml03(spark, sf):
     from ..operators import probes
 
     df = table(spark, sf, "embeddings").select(c("vec_id").alias("uid"), (c("label") % 2).cast("string").alias("label"), "embedding")
-    return metrics.summary(metrics.per_class(metrics.cells(probes.cross_validated(df, probes.mlp_probe(64, 2, 16, 10), 2))))
+    return metrics.summary(metrics.per_class(metrics.cells(probes.cross_validated(df, probes.mlp_probe(64, 2, 256, 500), 5))))
 
 
 @query("CTR_01_centre_effect")

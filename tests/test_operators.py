@@ -170,3 +170,16 @@ def test_plans_stay_in_the_jvm(spark):
     for name in ("FAIR_01_subgroups", "BST_01_intervals", "PRJ_46_taxonomy_breast", "AGG_06_crosstab"):
         plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_full_inference_queries(spark):
+    from cohortry import plans
+
+    run = lambda name: plans.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    got = {r["metric"]: r for r in run("BST_01_intervals_full")}
+    assert set(got) == {"accuracy", "balanced_accuracy", "f1_macro", "sensitivity_0", "sensitivity_1", "sensitivity_2"}
+    assert got["accuracy"]["n_valid"] == 1000 and all(r["ci_low"] <= r["ci_high"] for r in got.values())
+    gaps = {r["metric"]: r for r in run("BST_02_gap_intervals_full")}
+    assert set(gaps) == {"delta_ba", "delta_f1", "delta_auc", "avg_gap", "tpr_gap", "fpr_gap", "auc_es"} and all(r["n_valid"] > 900 for r in gaps.values())
+    (p,) = run("MET_13_permutation_test_full")
+    assert abs(p["p_value"] * 1001 - round(p["p_value"] * 1001)) < 0.001
