@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, checkpointed
 
 SAMPLE_ROWS = 20_000
-KEEP_AT = 0.1
+KEEP_AT = 0.5
+#: A word marks a text as toxic from this log likelihood ratio on, if so many labelled rows hold it.
+TOXIC_RATIO, TOXIC_ROWS = 4.0, 10
 #: Strength of a level's prior: fitted, but within these bounds.
 STRENGTH_BOUNDS = (2.0, 1000.0)
 #: How far a site may move a document's log-odds.
@@ -33,6 +35,7 @@ def figures(text: Column) -> list[Column]:
     words = F.greatest(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(1)).cast("double")
     share = lambda kept: F.length(F.regexp_replace(text, kept, "")) / chars
     lines = F.split(text, "\n")
+    listed = F.split(F.lower(F.trim(text)), r"\s+")
     return [
         F.log1p(words),
         chars / words,
@@ -42,6 +45,8 @@ def figures(text: Column) -> list[Column]:
         share(r"[^\p{Lu}]+") * F.lit(10.0),
         F.lit(1.0) - F.size(F.array_distinct(lines)) / F.size(lines),
         share(r"[\p{L}\s]+") * F.lit(5.0),
+        F.size(F.array_distinct(listed)) / F.size(listed),
+        F.regexp_count(F.lower(text), F.lit(r"(?<!\S)(\S++)(?=\s+\1(?!\S))")) / words,  # the same word again
     ]
 
 
@@ -61,7 +66,7 @@ def fit_evidence(labelled: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS
     n = labelled.count()
     drawn = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(min(1.0, sample_rows / max(n, 1)) * (1 << 30)))
     rows = drawn.select("x", F.col(label).cast("double").alias("y")).collect()
-    width = len(rows[0]["x"]) if rows else 8
+    width = len(rows[0]["x"]) if rows else 10
     x, y = np.array([r["x"] for r in rows], float).reshape(-1, width), np.array([r["y"] for r in rows], float)
     mean, scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)) if len(x) else (np.zeros(width), np.ones(width))
     design = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
@@ -76,6 +81,28 @@ def fit_evidence(labelled: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS
     return beta, mean, scale
 
 
+def _letters(text: Column) -> Column:
+    """The distinct words of a text, letters only, in lower case."""
+    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Words that labelled toxic texts hold far more often than others: log likelihood ratios of presence, smoothed.
+
+    From at most about ``sample_rows`` labelled rows, drawn as for the evidence model.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = known.count()
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(min(1.0, sample_rows / max(n, 1)) * (1 << 30)))
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), _letters(F.col("text")).alias("found"))
+    totals = rows.agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("other")).first()
+    if not totals["toxic"] or not totals["other"]:
+        return []
+    held = rows.select("toxic", F.explode("found").alias("word")).where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    ratio = F.log((F.col("t") + 0.5) / (totals["toxic"] + 1)) - F.log((F.col("o") + 0.5) / (totals["other"] + 1))
+    return sorted(r["word"] for r in held.where((F.col("t") + F.col("o") >= TOXIC_ROWS) & (ratio >= TOXIC_RATIO)).select("word").collect())
+
+
 def _strength(groups: DataFrame, parent_mean: Column) -> Column:
     """Method of moments for the prior strength of a level from its groups' (n, s): an aggregate expression.
 
@@ -112,12 +139,15 @@ def _logit(p: Column) -> Column:
 def quality_posteriors(docs: DataFrame, labels: DataFrame, site: Column, path: Column, keep_at: float = KEEP_AT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, evidence, site_mean, path_mean, posterior, kept of every row of ``docs`` (doc_id, text).
 
+    ``kept``: the posterior is ``keep_at`` or more, and, if ``labels`` has a column toxic, the text holds no toxic word.
     ``labels`` (doc_id, quality) may cover any part of the documents. Null texts count as empty; null sites and paths
     are groups of their own. Without labels of both kinds the evidence is flat and all documents are kept. Repeated
     rows count as often as they stand; an empty table gives an empty result; other columns are ignored.
     """
     # In Python's view: keys are made never-null first, so that joins below keep null sites.
-    rows = docs.select("doc_id", F.array(*figures(F.col("text"))).alias("x"), F.coalesce(F.concat(F.lit("0"), site), F.lit("1")).alias("site"), F.coalesce(F.concat(F.lit("0"), path), F.lit("1")).alias("path"))
+    marks = toxic_words(docs, labels, sample_rows) if "toxic" in labels.columns else []
+    toxic = F.arrays_overlap(_letters(F.col("text")), F.array(*map(F.lit, marks))) if marks else F.lit(False)
+    rows = docs.select("doc_id", toxic.alias("toxic"), F.array(*figures(F.col("text"))).alias("x"), F.coalesce(F.concat(F.lit("0"), site), F.lit("1")).alias("site"), F.coalesce(F.concat(F.lit("0"), path), F.lit("1")).alias("path"))
     rows = checkpointed(rows)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     labelled = rows.where(F.col("doc_id").isNotNull()).join(known, "doc_id").select("x", F.col("doc_id").alias("key"), "quality")
@@ -126,7 +156,7 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, site: Column, path: C
     score = F.lit(float(beta[-1] - (weights * mean).sum()))
     for k, w in enumerate(weights):
         score = score + F.lit(float(w)) * F.col("x")[k]
-    scored = rows.select("doc_id", "site", "path", F.least(F.greatest(score, F.lit(-12.0)), F.lit(12.0)).alias("score"))
+    scored = rows.select("doc_id", "toxic", "site", "path", F.least(F.greatest(score, F.lit(-12.0)), F.lit(12.0)).alias("score"))
     scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("score"))))
     sites = site_posteriors(scored)
     # The sites' rows are salted for the join, as one site may hold a third of all documents.
@@ -141,4 +171,4 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, site: Column, path: C
     shift = _logit(F.col("path_mean")) - _logit(F.col("global_mean"))
     odds = _logit(F.col("global_mean")) + own + F.least(F.greatest(shift, F.lit(-SITE_REACH)), F.lit(SITE_REACH))
     posterior = 1 / (1 + F.exp(-odds))
-    return joined.select("doc_id", F.col("p").alias("evidence"), "site_mean", "path_mean", posterior.alias("posterior"), (posterior >= keep_at).alias("kept"))
+    return joined.select("doc_id", F.col("p").alias("evidence"), "site_mean", "path_mean", posterior.alias("posterior"), ((posterior >= keep_at) & ~F.col("toxic")).alias("kept"))

@@ -270,6 +270,19 @@ def test_site_quality(edge_docs, no_docs, spark):
     assert site_quality.quality_posteriors(edge_docs, labels.limit(0), F.col("source"), F.col("lang")).count() == len(rows())
 
 
+def test_site_quality_reads_words(spark):
+    from pyspark.sql import functions as F
+
+    twice = lambda t: " ".join(w for a in t.split()[:20] for w in [a] * 2)
+    texts = [(k, prose(k, 40) if k % 4 else twice(prose(k, 40))) for k in range(120)]
+    texts = [(k, t + " scum" if k % 4 == 1 else t) for k, t in texts]
+    docs = spark.createDataFrame([(k, t, "a") for k, t in texts], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), int(k % 4 == 1)) for k in range(80)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in site_quality.quality_posteriors(docs, labels, F.col("source"), F.lit("p")).collect()}
+    assert site_quality.toxic_words(docs, labels) == ["scum"]
+    assert all(kept[k] == (k % 4 > 1) for k in range(80, 120))
+
+
 def test_sparse_paths_shrink_to_their_site(spark):
     rows_ = [("good", "a", 0.95)] * 200 + [("bad", "b", 0.1)] * 200 + [("bad", "rare", 0.9)]
     got = {(r["site"], r["path"]): r for r in site_quality.site_posteriors(spark.createDataFrame(rows_, "site string, path string, p double")).collect()}
