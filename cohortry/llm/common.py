@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,36 +23,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(session: SparkSession) -> str:
+    """The folder for intermediate tables that all machines of the session share: that of ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session has none, as in tests.
+    Where the session names none, a local folder does for a local master; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """The rows as a Parquet table in the checkpoint folder, and what drops it once its readers have run.
+    """The rows as a Parquet table in the shared folder, and what drops it once its readers have run.
 
-    For large intermediate tables: columns take a fraction of the space of checkpointed rows.
+    For large intermediate tables: columns take a fraction of the space of checkpointed rows. A table whose writing
+    fails is removed again.
     """
     session = df.sparkSession
     context = session.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(session)}/table-{uuid.uuid4().hex}"
 
     def drop() -> None:
         folder = context._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        drop()
+        raise
     return session.read.schema(df.schema).parquet(path), drop
 
 
+def released(session: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: it does so once their plans are collected as garbage."""
+    gc.collect()
+    session.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, and its memory released when it ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        trim()
+
+    return wrapped
+
+
 def source_key(column) -> F.Column:
     """A never-null text that orders like the source itself, null last."""
     return F.when(column.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), column))

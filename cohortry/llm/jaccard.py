@@ -6,18 +6,24 @@ p = n - ceil(0.75 n) + 1, two linked documents share a token among their first p
 index it by itself. Otherwise all they share is frequent; then both prefixes are extended to 2p tokens, hold at least
 p_min + 1 shared ones, and, as gaps add up to less than 5 p_min, some neighbouring two of these are at most 3 places
 apart in both documents. So pairs of frequent tokens up to 3 places apart are indexed instead of single ones. (Sets
-of under 8 tokens are too small for that; those of up to 10 index frequent tokens singly besides.)
-
-Equal sets are one node. Index lists are read twice. First each member meets the hubs of its lists; verified links
-make components, so most of a family of near copies is one component after a few comparisons a member. Then only
-pairs of different components are enumerated, and those whose prefixes share too little for the threshold go. Of the
-rest, each node's best partners are verified first, and what is still apart after that is verified exactly, all of it.
-Nothing but fixed-size sketches reaches the driver.
+of under 8 tokens are too small for that; those of up to 10 index frequent tokens singly besides.) A pair so frequent
+that its list could outgrow a task is indexed once per pair of salts, so that any two members still meet.
+
+Equal sets are one node, named by the set's hash, never by a doc_id. The sets of all nodes that stand in a list beside
+one of a fitting size are made once more and written. A node's reach is the number of its tokens that other written
+sets hold too; no node can share more than that, so those whose reach is under 0.75 of their size leave all lists, and
+a pair is looked at only if the lesser reach allows the threshold. That takes away the fringe of large families
+(copies changed too much to link), which otherwise would meet every member.
+
+Index lists are then read twice. First each member meets the hubs of its lists; verified links make components, so
+most of a family of near copies is one component after a few comparisons a member. Then only pairs of different
+components are listed, and those whose prefixes share too little for the threshold go. Of the rest, each node's best
+partners are verified first, and what is still apart after that is verified exactly, all of it. Verifying is a join
+with the written sets. Nothing but fixed-size sketches reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -27,25 +33,24 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, mix64, sequence_hash, window_hashes, written
+from .common import Words, checkpointed, chunks, mix64, released, sequence_hash, tidy, window_hashes, written
 
 WIDTH = 5
 PERCENT = 75
 CLASS_BITS = 23
-RANGES = 64  # of the class sketch
+PARTS = 64  # of the class sketch
 #: A class's level is the number of these that its count exceeds the mean by, noise (three deviations) aside.
-LEVELS = (3, 6, 10, 16)
+LEVELS = (3, 6, 10, 16, 1 << 17, 1 << 18, 1 << 19, 1 << 20, 1 << 21, 1 << 22, 1 << 23, 1 << 24)
+FREQUENT = 4  # from this level on a class is frequent; each level above it doubles the salts of a pair's list
 GAP = 3
 BLOOM_BITS = 23
 BLOOM_HASHES = 4
-DOCS_PER_RANGE = 4096
+DOCS_PER_RANGE = 8192
 FLUSH_ENTRIES = 1 << 18
+FLUSH_TOKENS = 1 << 20
 PAIRS_AT_ONCE = 1 << 19
-PAIR_KEY_SHIFT = 4
-#: Nodes whose sets a verifying group may hold of either side, and the most blocks they are dealt to.
-BLOCK_NODES = 1024
-MOST_BLOCKS = 64
 _FIRST, _SECOND = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
+_SALT, _OTHER = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _texts(column: pa.Array) -> Iterator[str | None]:
@@ -71,38 +76,45 @@ def node_id(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+_SIGNED_DDL = "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, part int, counts binary"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of every document, and (part, counts) rows: the classes each task has met."""
+    """(doc_id, text_key, n_shingles, node) of every document, and (part, counts) rows: the classes each task has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts, any_set = set(), np.zeros(1 << CLASS_BITS, np.int32), False
+        seen, counts, any_set = set(), np.zeros(1 << CLASS_BITS, np.uint8), False
         for batch in batches:
             sizes, nodes = [], []
-            for tokens in shingle_sets(_texts(batch.column(1))):
+            for tokens in shingle_sets(_texts(batch.column(2))):
                 node = node_id(tokens) if len(tokens) else None
                 sizes.append(len(tokens))
                 nodes.append(node)
                 if node is not None and node not in seen:
                     seen.add(node)
-                    np.add.at(counts, (tokens >> np.uint64(64 - CLASS_BITS)).astype(np.int64), 1)
+                    classes, times = np.unique((tokens >> np.uint64(64 - CLASS_BITS)).astype(np.int64), return_counts=True)
+                    counts[classes] = np.minimum(counts[classes] + times, 255)  # a task's say on one class is bounded; only the cost depends on it
                     any_set = True
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], schema=_SIGNED)
         if any_set:
-            step = (1 << CLASS_BITS) // RANGES
-            parts = [zlib.compress(np.minimum(counts[k * step : (k + 1) * step], 255).astype(np.uint8).tobytes(), 1) for k in range(RANGES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(RANGES, pa.int64()), pa.nulls(RANGES, pa.int64()), pa.nulls(RANGES, pa.int64()), pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], schema=_SIGNED)
+            step = (1 << CLASS_BITS) // PARTS
+            parts = [zlib.compress(counts[k * step : (k + 1) * step].tobytes(), 1) for k in range(PARTS)]
+            none = pa.nulls(PARTS, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=_SIGNED)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, part int, counts binary")
+    return _keyed(docs).mapInArrow(tidy(run), _SIGNED_DDL)
 
 
 def class_levels(signed: DataFrame) -> np.ndarray:
-    """The level of each class, 0 for rare to len(LEVELS) for frequent: 8 MB whatever the input."""
+    """The level of each class, 0 for rare to len(LEVELS) for the most frequent: 8 MB whatever the input."""
 
     def mark(found: pa.Table) -> pa.Table:
-        total = np.zeros((1 << CLASS_BITS) // RANGES, np.int64)
+        total = np.zeros((1 << CLASS_BITS) // PARTS, np.int64)
         for blob in found["counts"]:
             total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
         mean = total.mean()
@@ -111,41 +123,70 @@ def class_levels(signed: DataFrame) -> np.ndarray:
 
     rows = signed.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(mark, "part int, levels binary").collect()
     whole = np.zeros(1 << CLASS_BITS, np.uint8)
-    step = len(whole) // RANGES
+    step = len(whole) // PARTS
     for r in rows:
         whole[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
     return whole
 
 
-def index_keys(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
+def _level(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[(tokens >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
+
+
+def _salted(keys: np.ndarray, level: np.ndarray, node: int) -> np.ndarray:
+    """The keys with those of the highest levels replaced by one key per pair of salts, of which the node's own is one."""
+    hot = level > FREQUENT
+    if not hot.any():
+        return keys
+    out = [keys[~hot]]
+    for at in np.unique(level[hot]):
+        salts = 1 << int(at - FREQUENT)
+        mine, other = node % salts, np.arange(salts)
+        pair = (np.minimum(mine, other) * salts + np.maximum(mine, other)).astype(np.uint64)
+        out.append(mix64(keys[level == at][:, None] * _SALT + pair * _OTHER).ravel())
+    return np.concatenate(out)
+
+
+def index_keys(tokens: np.ndarray, levels: np.ndarray, node: int = 0) -> tuple[np.ndarray, int]:
     """The keys under which a set is indexed, and how many of them are single rare tokens.
 
     Tokens stand in the order of their class's level, then of their hash: the same order in every set.
     """
     n = len(tokens)
     prefix = n - -(-PERCENT * n // 100) + 1
-    level = levels[(tokens >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
+    level = _level(tokens, levels)
     order = np.argsort(level, kind="stable")
-    tokens, often = tokens[order], level[order] == len(LEVELS)
+    tokens, level = tokens[order], level[order]
+    often = level >= FREQUENT
     rare = tokens[~often][:prefix]
     if len(rare) == prefix:
         return rare, prefix
-    common = tokens[often]
+    common, at = tokens[often], level[often]
     keys = [rare]
     if n <= 10:
-        keys.append(common[: prefix - len(rare)])
+        some = prefix - len(rare)
+        keys.append(_salted(common[:some], at[:some], node))
     if n >= 8:
-        within = common[: 2 * prefix - len(rare)]
-        # These keys fall into the first ranges only, so that two documents meet in few groups however many they share.
-        keys += [mix64(within[:-gap] * _FIRST + within[gap:] * _SECOND) >> np.uint64(PAIR_KEY_SHIFT) for gap in range(1, GAP + 1) if len(within) > gap]
+        within, at = common[: 2 * prefix - len(rare)], at[: 2 * prefix - len(rare)]
+        for gap in range(1, GAP + 1):
+            if len(within) > gap:
+                keys.append(_salted(mix64(within[:-gap] * _FIRST + within[gap:] * _SECOND), np.minimum(at[:-gap], at[gap:]), node))
     return np.concatenate(keys), len(rare)
 
 
 _ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("rare", "<i4")])
+_LISTS = "key bigint, node bigint, n int, rare int"
+
+
+def _by_part(part: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(parts met, where each begins, where it ends) of rows put in the order of their part."""
+    part = part[ordered]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return part[first], first, np.append(first[1:], len(part))
 
 
 def index_lists(docs: DataFrame, levels: np.ndarray, ranges: int) -> DataFrame:
-    """(key, node, n, rare): the entries of all index lists with two nodes or more, each node once a list."""
+    """(key, node, n, rare): the entries of all index lists, each node once a list and only beside one of a size that allows a link."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     shift = np.uint64(64 - (ranges.bit_length() - 1))
 
@@ -158,18 +199,17 @@ def index_lists(docs: DataFrame, levels: np.ndarray, ranges: int) -> DataFrame:
             entries = np.concatenate(held)
             part = (entries["key"] >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(entries), np.int64)
             order = np.argsort(part, kind="stable")
-            entries, part = entries[order], part[order]
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            ends = np.append(first[1:], len(part))
+            parts, first, ends = _by_part(part, order)
+            entries = entries[order]
             blobs = [entries[a:b].tobytes() for a, b in zip(first, ends)]
-            return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "entries"])
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
         for batch in batches:
             for tokens in shingle_sets(_texts(batch.column(0))):
                 if not len(tokens) or (node := node_id(tokens)) in seen:
                     continue
                 seen.add(node)
-                keys, rare = index_keys(tokens, shared.value)
+                keys, rare = index_keys(tokens, shared.value, node)
                 entries = np.empty(len(keys), _ENTRY)
                 entries["key"], entries["node"], entries["n"], entries["rare"] = keys, node, len(tokens), rare
                 held.append(entries)
@@ -188,56 +228,186 @@ def index_lists(docs: DataFrame, levels: np.ndarray, ranges: int) -> DataFrame:
         same = key[1:] == key[:-1]
         again[1:] |= same
         again[:-1] |= same
-        entries = entries[again]
-        entries = entries[np.lexsort((entries["node"], entries["key"]))]
-        fresh = np.ones(len(entries), bool)
-        fresh[1:] = (entries["key"][1:] != entries["key"][:-1]) | (entries["node"][1:] != entries["node"][:-1])
+        entries = entries[again]  # most keys stand in one document only
+        entries = entries[np.lexsort((entries["node"], entries["n"], entries["key"]))]
+        key, node = entries["key"], entries["node"]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         entries = entries[fresh]
-        key = entries["key"]
+        key, n = entries["key"], entries["n"].astype(np.int64)
+        fits = (key[1:] == key[:-1]) & (n[:-1] * 100 >= n[1:] * PERCENT)  # a list is in the order of sizes
         again = np.zeros(len(key), bool)
-        if len(key):
-            same = key[1:] == key[:-1]
-            again[1:] |= same
-            again[:-1] |= same
+        again[1:] |= fits
+        again[:-1] |= fits
         entries = entries[again]
-        if not len(entries):
-            return pa.table({"key": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "rare": pa.array([], pa.int32()), "hub": pa.array([], pa.int64()), "hub_n": pa.array([], pa.int32())})
-        start = np.flatnonzero(np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]]))
-        sizes = np.diff(np.append(start, len(entries)))
-        # A list's hub is the member that meets most others in this range's lists: of near copies, a central one.
-        _, which = np.unique(entries["node"], return_inverse=True)
-        met = np.bincount(which, np.repeat(sizes, sizes))[which]
-        order = np.lexsort((entries["node"], -met, np.repeat(np.arange(len(start)), sizes)))
-        hub = entries[order[start]]
-        return pa.table({"key": entries["key"].view(np.int64), "node": entries["node"], "n": entries["n"], "rare": entries["rare"], "hub": np.repeat(hub["node"], sizes), "hub_n": np.repeat(hub["n"], sizes)})
-
-    return docs.select("text").mapInArrow(emit, "part int, entries binary").groupBy("part").applyInArrow(collect, "key bigint, node bigint, n int, rare int, hub bigint, hub_n int")
-
-
-def star_pairs(lists: DataFrame, partners: int = 3) -> DataFrame:
-    """(a, b): each node with the hubs that it meets most often, if sizes allow a link."""
-    met = lists.where(F.col("node") != F.col("hub")).where(_sizes_allow(F.col("n"), F.col("hub_n")))
-    counts = met.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("rare").alias("rare"))
-    best = counts.where(F.col("met") * 5 >= F.col("rare")).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b")))
-    return best.where(F.col("nth") <= partners).select("a", "b")
+        return pa.table({"key": entries["key"].view(np.int64), "node": entries["node"], "n": entries["n"], "rare": entries["rare"]})
+
+    return docs.select("text").mapInArrow(tidy(emit), "part bigint, entries binary").groupBy("part").applyInArrow(collect, _LISTS)
+
+
+def _bloom(keys: DataFrame) -> np.ndarray:
+    """Bits of the 64-bit ``text_key`` hashes (2^23 bits: 1 MB whatever the input)."""
+    spots = keys.select(F.explode(F.array(*[_spot(F.col("text_key"), k) for k in range(BLOOM_HASHES)])).alias("spot"))
+    words = spots.groupBy(F.shiftright("spot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, spot & 31)")).alias("bits"))
+    out = np.zeros(1 << (BLOOM_BITS - 5), "<u4")
+    for r in words.collect():
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def _spot(key: F.Column, k: int) -> F.Column:
+    return F.shiftrightunsigned(key, 13 * k).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1)).cast("int")
+
+
+def token_sets(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(node, n, often, tokens) of the texts that a Bloom filter of ``wanted`` (text_key) lets through.
 
+    ``often`` counts tokens of frequent classes. A task gives a node once; several tasks may give the same one.
+    """
+    context = docs.sparkSession.sparkContext
+    bloom, shared = context.broadcast(_bloom(wanted)), context.broadcast(levels)
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("often", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = bloom.value, set()
+        for batch in batches:
+            key = batch.column(0).to_numpy().view(np.uint64)
+            let = np.ones(len(key), bool)
+            for k in range(BLOOM_HASHES):
+                spot = (key >> np.uint64(13 * k)).astype(np.int64) & ((1 << BLOOM_BITS) - 1)
+                let &= (bits[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
+            chosen = batch.filter(pa.array(let))
+            for start in range(0, chosen.num_rows, 512):
+                nodes, often, sets = [], [], []
+                for tokens in shingle_sets(_texts(chosen.column(1).slice(start, 512))):
+                    if len(tokens) and (node := node_id(tokens)) not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        often.append(int((_level(tokens, shared.value) >= FREQUENT).sum()))
+                        sets.append(tokens.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(t) for t in sets], pa.int32()), pa.array(often, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+
+    return _keyed(docs).select("text_key", "text").mapInArrow(tidy(run), "node bigint, n int, often int, tokens array<bigint>")
+
+
+def reaches(sets: DataFrame, levels: np.ndarray, ranges: int) -> DataFrame:
+    """(node, n, reach): of each node's ``n`` tokens, how many some other node of ``sets`` may hold too.
+
+    Tokens of frequent classes count as held by others, so lists here are short. Tokens are told apart by their range
+    and 32 more bits: a chance meeting makes a reach one too large, never too small.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(levels)
+    bits = ranges.bit_length() - 1
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        names: list[int] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            tokens = np.concatenate(held)
+            owner = np.repeat(np.arange(len(held)), [len(t) for t in held])
+            part = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
+            order = np.argsort(part, kind="stable")
+            parts, first, ends = _by_part(part, order)
+            low = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype("<u4")[order]
+            owner, name = owner[order], np.array(names, "<i8")
+            columns: tuple[list, list, list] = ([], [], [])
+            for a, b in zip(first, ends):
+                who, counts = np.unique(owner[a:b], return_counts=True)  # owners stand in order within a part
+                for column, value in zip(columns, (name[who], counts.astype("<u4"), low[a:b])):
+                    column.append(value.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "nodes", "counts", "tokens"])
 
-def _sizes_allow(n: F.Column, m: F.Column) -> F.Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+        for batch in batches:
+            for node, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = values.values.to_numpy().view(np.uint64)
+                tokens = tokens[_level(tokens, shared.value) < FREQUENT]
+                if len(tokens):
+                    held.append(tokens)
+                    names.append(node)
+                    size += len(tokens)
+                if size > FLUSH_TOKENS:
+                    yield flush()
+                    held, names, size = [], [], 0
+        if held:
+            yield flush()
+
+    def count(found: pa.Table) -> pa.Table:
+        every = lambda c, kind: np.concatenate([np.frombuffer(b.as_py(), kind) for b in found[c]])
+        names, place = np.unique(every("nodes", "<i8"), return_inverse=True)
+        owner = np.repeat(place, every("counts", "<u4")).astype(np.int32)
+        tokens = every("tokens", "<u4")
+        order = np.lexsort((owner, tokens))
+        tokens, owner = tokens[order], owner[order]
+        fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])  # a node given by two tasks counts once
+        tokens, owner = tokens[fresh], owner[fresh]
+        same = tokens[1:] == tokens[:-1]
+        held = np.zeros(len(tokens), bool)
+        held[1:] |= same
+        held[:-1] |= same
+        times = np.bincount(owner[held], minlength=len(names))
+        return pa.table({"node": names[times > 0], "held": times[times > 0].astype(np.int64)})
+
+    parts = sets.select("node", "tokens").mapInArrow(tidy(emit), "part bigint, nodes binary, counts binary, tokens binary")
+    held = parts.groupBy("part").applyInArrow(count, "node bigint, held bigint").groupBy("node").agg(F.sum("held").alias("held"))
+    sizes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("often").alias("often"))
+    return sizes.join(held, "node", "left").select("node", "n", (F.col("often") + F.coalesce("held", F.lit(0))).cast("int").alias("reach"))
+
+
+def _allowed(n: F.Column, m: F.Column, reach: F.Column) -> F.Column:
+    """Whether sets of sizes n and m that share ``reach`` tokens at most can reach the threshold."""
+    return reach * (100 + PERCENT) >= (n + m) * PERCENT
+
+
+def _with_part(lists: DataFrame, ranges: int) -> DataFrame:
+    return lists.withColumn("part", F.shiftrightunsigned("key", 64 - (ranges.bit_length() - 1)) if ranges > 1 else F.lit(0).cast("bigint"))
+
+
+def star_pairs(lists: DataFrame, ranges: int, partners: int = 3) -> DataFrame:
+    """(a, b): each node with the hubs that it meets most often, if sizes and reach allow a link.
+
+    A list has two hubs: the member that meets most others in its range's lists, and the one of the largest reach for
+    its size. Of a family of near copies both are central ones.
+    """
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("met", pa.int64()), ("rare", pa.int32())])
+
+    def meet(found: pa.Table) -> pa.Table:
+        key, node, n, rare, reach = (found[c].to_numpy() for c in ("key", "node", "n", "rare", "reach"))
+        if not len(key):
+            return fields.empty_table()
+        order = np.argsort(key, kind="stable")
+        key, node, n, rare, reach = key[order], node[order], n[order].astype(np.int64), rare[order], reach[order].astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(start, len(key)))
+        which_list = np.repeat(np.arange(len(start)), sizes)
+        names, place = np.unique(node, return_inverse=True)
+        met = np.bincount(place, np.repeat(sizes, sizes))[place]
+        codes = []
+        for worth in (met, reach / n):
+            hub = np.repeat(np.lexsort((node, -worth, which_list))[start], sizes)
+            fits = (node != node[hub]) & (np.minimum(reach, reach[hub]) * (100 + PERCENT) >= (n + n[hub]) * PERCENT)
+            codes.append(np.stack([place[fits], place[hub[fits]], rare[fits]]))
+        a, b, few = np.concatenate(codes, axis=1)
+        code, first, times = np.unique(a * np.int64(len(names)) + b, return_index=True, return_counts=True)
+        return pa.table([pa.array(x, f.type) for x, f in zip((names[code // len(names)], names[code % len(names)], times, few[first]), fields)], schema=fields)
+
+    met = _with_part(lists, ranges).groupBy("part").applyInArrow(meet, "a bigint, b bigint, met bigint, rare int")
+    counts = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("rare").alias("rare"))
+    best = counts.where(F.col("met") * 5 >= F.col("rare")).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b")))
+    return best.where(F.col("nth") <= partners).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def cross_pairs(lists: DataFrame, components: DataFrame, ranges: int) -> DataFrame:
-    """(a, b) of different components that share an index key and enough of it for the threshold."""
-    shift = 64 - (ranges.bit_length() - 1)
+    """(a, b, met) of different components that share an index key and enough of it for the threshold."""
     named = lists.join(components.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.withColumn("part", F.shiftrightunsigned("key", shift) if ranges > 1 else F.lit(0).cast("bigint"))
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("rare_a", pa.int32()), ("rare_b", pa.int32()), ("met", pa.int32())])
 
     def pairs(found: pa.Table) -> pa.Table:
         key, node, component = (found[c].to_numpy() for c in ("key", "node", "component"))
-        n, rare = found["n"].to_numpy(), found["rare"].to_numpy()
+        n, rare, reach = found["n"].to_numpy().astype(np.int64), found["rare"].to_numpy(), found["reach"].to_numpy().astype(np.int64)
         order = np.lexsort((component, key))
-        key, node, component, n, rare = key[order], node[order], component[order], n[order], rare[order]
+        key, node, component, n, rare, reach = key[order], node[order], component[order], n[order], rare[order], reach[order]
         if not len(key):
             return fields.empty_table()
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
@@ -258,7 +428,7 @@ def cross_pairs(lists: DataFrame, components: DataFrame, ranges: int) -> DataFra
             some = counts[at:stop]
             i = np.repeat(np.arange(at, stop), some)
             j = np.repeat(behind[at:stop], some) + np.arange(len(i)) - np.repeat(upto[at:stop] - upto[at], some)
-            fits = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * PERCENT
+            fits = np.minimum(reach[i], reach[j]) * (100 + PERCENT) >= (n[i] + n[j]) * PERCENT
             i, j = place[i[fits]], place[j[fits]]
             held.append(np.minimum(i, j) * width + np.maximum(i, j))
             waiting += len(held[-1])
@@ -274,11 +444,11 @@ def cross_pairs(lists: DataFrame, components: DataFrame, ranges: int) -> DataFra
         a, b = first_of[i], first_of[j]
         return pa.table([pa.array(x, f.type) for x, f in zip((names[i], names[j], n[a], n[b], rare[a], rare[b], times), fields)], schema=fields)
 
-    found = named.select("part", "key", "node", "component", "n", "rare").groupBy("part").applyInArrow(pairs, "a bigint, b bigint, n_a int, n_b int, rare_a int, rare_b int, met int")
+    found = _with_part(named, ranges).groupBy("part").applyInArrow(pairs, "a bigint, b bigint, n_a int, n_b int, rare_a int, rare_b int, met int")
     whole = found.groupBy("a", "b").agg(F.sum("met").alias("met"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "rare_a", "rare_b")])
     # Of the document whose rare prefix ends first, all shared tokens are among those met or behind its prefix.
     most = F.col("met") + F.greatest(F.col("n_a") - F.col("rare_a"), F.col("n_b") - F.col("rare_b"))
-    return whole.where(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT).select("a", "b", "met")
+    return whole.where(_allowed(F.col("n_a"), F.col("n_b"), most)).select("a", "b", "met")
 
 
 def best_partners(pairs: DataFrame, partners: int = 2) -> DataFrame:
@@ -295,77 +465,12 @@ def still_apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids' hashes as bytes (2^23 bits: 1 MB whatever the input)."""
-    spots = ids.select(F.explode(F.array(*_spots(F.col("doc_id")))).alias("spot"))
-    words = spots.groupBy(F.shiftright("spot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, spot & 31)")).alias("bits"))
-    out = np.zeros(1 << (BLOOM_BITS - 5), "<u4")
-    for r in words.collect():
-        out[r["word"]] = r["bits"]
-    return out
-
-
-def _spots(column: F.Column) -> list[F.Column]:
-    return [F.pmod(F.xxhash64(column, F.lit(k)), F.lit(1 << BLOOM_BITS)).cast("int") for k in range(BLOOM_HASHES)]
-
-
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets reach the threshold. ``nodes``: (node, doc_id), one document a node.
-
-    The sets are made again from the texts of the documents that a fixed-size Bloom filter lets through.
-    """
-    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "doc_id"))
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            let = np.ones(batch.num_rows, bool)
-            for k in range(BLOOM_HASHES):
-                spot = batch.column(2 + k).to_numpy()
-                let &= (bits[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
-            chosen = batch.filter(pa.array(let))
-            for start in range(0, chosen.num_rows, 512):
-                part = chosen.slice(start, 512)
-                nodes_, sets = [], []
-                for tokens in shingle_sets(_texts(part.column(1))):
-                    nodes_.append(node_id(tokens) if len(tokens) else None)
-                    sets.append(tokens.view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes_, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "node", "tokens"])
-
-    sets = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[s.alias(f"s{k}") for k, s in enumerate(_spots(F.col("doc_id").cast("bigint")))])
-    sets = sets.where("doc_id is not null").mapInArrow(run, "doc_id bigint, node bigint, tokens array<bigint>").join(wanted, ["node", "doc_id"], "left_semi").select("node", "tokens")
-    # Nodes are dealt to blocks; a group is a pair of blocks and gets each set it needs once, however many pairs use it.
-    blocks = max(1, min(MOST_BLOCKS, math.isqrt(wanted.count() // BLOCK_NODES) + 1))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    dealt = pairs.select("a", "b", (block("a") * blocks + block("b")).alias("part"))
-    needed = dealt.select("part", F.explode(F.array("a", "b")).alias("node")).distinct()
-    shipped = needed.join(sets, "node").select((F.col("part") + 0).alias("group"), "node", "tokens")
-
-    def check(these: pa.Table, found: pa.Table) -> pa.Table:
-        own = dict(zip(found["node"].to_pylist(), found["tokens"].combine_chunks()))
-        these = these.sort_by("a")
-        a, b = these["a"].to_numpy(), these["b"].to_numpy()
-        keep = np.zeros(len(a), bool)
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else []
-        for start, end in zip(first, np.append(first[1:], len(a)) if len(a) else []):
-            if (mine := own.get(a[start])) is None:
-                continue
-            mine = np.sort(mine.values.to_numpy())
-            for at in range(start, end, 64):
-                here = [k for k in range(at, min(end, at + 64)) if b[k] in own]
-                others = [own[b[k]].values.to_numpy() for k in here]
-                if not others:
-                    continue
-                tokens = np.concatenate(others)
-                place = np.searchsorted(mine, tokens)
-                place[place == len(mine)] = 0
-                sizes = np.fromiter(map(len, others), np.int64, len(others))
-                common = np.add.reduceat((mine[place] == tokens).astype(np.int64), np.cumsum(sizes) - sizes)
-                keep[here] = common * 100 >= (len(mine) + sizes - common) * PERCENT
-        return pa.table({"a": a[keep], "b": b[keep]})
-
-    return dealt.groupBy("part").cogroup(shipped.groupBy("group")).applyInArrow(check, "a bigint, b bigint")
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets reach the threshold: two joins, which Spark may spill and split as it needs."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("tokens").alias(f"of_{side}")).dropDuplicates([side])
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(_allowed(F.size("of_a"), F.size("of_b"), common)).select("a", "b")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -390,47 +495,67 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
-
-    Documents link when their sets' Jaccard similarity is at least 0.75; component_id is the smallest doc_id that
-    links lead to. Null, empty and wordless texts have no shingles and are their own component. A null doc_id is never
-    the smallest; if all of a component are null, so is its id. Repeated rows share a component; an empty table gives
-    an empty result; other columns are ignored.
-    """
-    docs = docs.select("doc_id", "text")
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_shingles, node) of every row, and (node, component) of every node."""
+    session = docs.sparkSession
     signed = checkpointed(signatures(docs))
-    own = signed.where("part is null")
-    n_docs = own.count()
-    ranges = 1 << max(3, min(12, (n_docs // DOCS_PER_RANGE).bit_length()))
+    own = signed.where("part is null").drop("part", "counts")
+    ranges = 1 << max(3, (own.count() // DOCS_PER_RANGE).bit_length())
     levels = class_levels(signed)
-    nodes = checkpointed(own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    lists, drop_lists = written(index_lists(docs, levels, ranges))
-    known = nodes.where("doc_id is not null")
-    stars = checkpointed(verified(docs, known, checkpointed(star_pairs(lists))))
+    nodes = checkpointed(own.where("node is not null").groupBy("node").agg(F.min("text_key").alias("text_key")))
+    every, drop_every = written(index_lists(docs, levels, ranges))
+    released(session)
+    wanted = every.select("node").distinct().join(nodes, "node").select("text_key")
+    sets, drop_sets = written(token_sets(docs, wanted, levels))
+    reach = reaches(sets, levels, ranges).where(F.col("reach") * 100 >= F.col("n") * PERCENT).select("node", "reach")
+    lists, drop_lists = written(every.join(reach, "node"))
+    drop_every()
+    released(session)
+    stars = checkpointed(verified(sets, checkpointed(star_pairs(lists, ranges))))
     first = connected_components(stars)
     pairs = checkpointed(cross_pairs(lists, first, ranges))
     drop_lists()
+    released(session)
     # Components go on as edges to their smallest node, with the links between them.
     edges = lambda components: components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    second = connected_components(edges(first).union(verified(docs, known, checkpointed(best_partners(pairs)))))
-    rest = verified(docs, known, checkpointed(still_apart(pairs, second)))
-    last = connected_components(edges(second).union(rest))
-    named = nodes.join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "component").select("node", "component_id")
-    return own.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    second = connected_components(edges(first).union(verified(sets, checkpointed(best_partners(pairs)))))
+    last = connected_components(edges(second).union(verified(sets, checkpointed(still_apart(pairs, second)))))
+    drop_sets()
+    released(session)
+    return own, nodes.join(last, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+
+    Documents link when their sets' Jaccard similarity is at least 0.75; component_id is the smallest doc_id that
+    links lead to. Null, empty and wordless texts have no shingles and are their own component. Rows of a null doc_id
+    link like any others, but a null is never the smallest; if all of a component are null, so is its id. Repeated rows
+    share a component; an empty table gives an empty result; other columns are ignored.
+    """
+    own, components = _components(docs.select("doc_id", "text"))
+    smallest = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(components, "node")
+    named = smallest.join(smallest.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    return own.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component: that with the smallest doc_id; documents without shingles all stay.
+    """One row of each component: that with the smallest doc_id (nulls last, then by a hash of the text).
 
-    Of repeated rows of that doc_id one stays; a component without any doc_id keeps all its rows. Columns stay as they are.
+    Documents without shingles link with nothing: they stay, repeated rows once. Rows that agree in doc_id and text
+    are repeated rows, whatever their other columns hold. Columns stay as they are.
     """
-    groups = similar_components(docs)
-    keep = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    own, components = _components(docs.select("doc_id", "text"))
+    rows = own.groupBy("node", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    first = rows.join(components, "node").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "times")).alias("row"))
+    keep = first.select("row.doc_id", "row.text_key", "row.times").unionByName(rows.where("node is null").select("doc_id", "text_key", "times"))
+    keep = checkpointed(keep.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (F.col("times") > 1).alias("_again")))
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+    chosen = keyed.join(keep, keyed["_doc"].eqNullSafe(keep["_id"]) & (keyed["_text"] == keep["_key"]))
+    # Only repeated rows, few or many, need another shuffle.
+    once = chosen.where("not _again").select("_row")
+    again = chosen.where("_again").dropDuplicates(["_doc", "_text"]).select("_row")
+    return once.unionByName(again).select("_row.*")
 
 
 #: The same rows in SQL, for tables small enough to compare all pairs that share a shingle.

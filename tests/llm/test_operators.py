@@ -355,7 +355,7 @@ def test_jaccard_against_brute_force(spark):
 def test_frequent_tokens_are_found_in_pairs():
     """Two sets of frequent tokens only, at the threshold, share an index key for any draw."""
     rng = np.random.default_rng(3)
-    everything = np.full(1 << jaccard.CLASS_BITS, len(jaccard.LEVELS), np.uint8)
+    everything = np.full(1 << jaccard.CLASS_BITS, jaccard.FREQUENT, np.uint8)
     for n in list(range(1, 40)) + [77, 150, 400]:
         for _ in range(30):
             pool = rng.integers(0, 2**63, 3 * n + 8, dtype=np.uint64) * np.uint64(2)
@@ -369,6 +369,42 @@ def test_frequent_tokens_are_found_in_pairs():
             assert np.intersect1d(keys_a, keys_b).size, (n, m, shared)
 
 
+def test_links_through_null_ids_hold(spark):
+    """A row of no id links like any other: as a bridge, as a near copy, as an exact copy."""
+    words_ = prose(77, 60).split()
+    a, b, c = " ".join(words_), " ".join(words_[3:] + ["u1", "u2"]), " ".join(words_[6:] + ["u1", "u2", "u3", "u4", "u5"])
+    assert [r[2] for r in _components([(1, a), (3, c)])] == [1, 3] and {r[2] for r in _components([(1, a), (2, b), (3, c)])} == {1}
+    lone = prose(78, 30)
+    docs = spark.createDataFrame([(1, a), (None, b), (3, c), (None, a), (None, lone), (None, lone + " x"), (8, None), (8, None), (None, "")], "doc_id long, text string")
+    assert sorted(str(r["component_id"]) for r in jaccard.similar_components(docs).collect()) == sorted(map(str, [1, 1, 1, 1, None, None, 8, 8, None]))
+    kept = sorted(str(tuple(r)) for r in jaccard.without_near_copies(docs).collect())
+    assert kept[:1] + kept[2:] == sorted(map(str, [(1, a), (8, None), (None, "")])) and kept[1] in (str((None, lone)), str((None, lone + " x")))
+
+
+def test_salted_lists_still_let_any_two_members_meet():
+    """Two sets of very frequent tokens share an index key whatever their nodes' salts."""
+    rng = np.random.default_rng(5)
+    hot = np.full(1 << jaccard.CLASS_BITS, jaccard.FREQUENT + 3, np.uint8)
+    pool = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64) * np.uint64(2))
+    for n in (6, 9, 60):
+        keys = [jaccard.index_keys(pool[:n], hot, int(node))[0] for node in rng.integers(-(2**62), 2**62, 12)]
+        assert all(np.intersect1d(x, y).size for x in keys for y in keys)
+        assert any(np.setdiff1d(keys[0], y).size for y in keys)
+
+
+def test_reach_bounds_what_any_pair_shares(spark):
+    rng = np.random.default_rng(6)
+    pool = rng.integers(-(2**63), 2**63, 400)
+    sets = [np.unique(rng.choice(pool, 50)) for _ in range(20)] + [np.unique(rng.integers(-(2**63), 2**63, 30))]
+    rows_ = [(k, len(t), 0, t.tolist()) for k, t in enumerate(sets)]
+    df = spark.createDataFrame(rows_ + rows_[:1], "node long, n int, often int, tokens array<bigint>").repartition(3)
+    rare = np.zeros(1 << jaccard.CLASS_BITS, np.uint8)
+    got = {r["node"]: r["reach"] for r in jaccard.reaches(df, rare, 8).collect()}
+    for k, t in enumerate(sets):
+        others = np.concatenate([o for j, o in enumerate(sets) if j != k])
+        assert got[k] == np.isin(t, others).sum()
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 200), (200, 300), (7, 7), (300, 100)]
     got = {r["node"]: r["component"] for r in jaccard.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
