@@ -10,10 +10,10 @@ of under 8 tokens are too small for that; those of up to 10 index frequent token
 that its list could outgrow a task is indexed once per pair of salts, so that any two members still meet.
 
 Equal sets are one node, named by the set's hash, never by a doc_id. The sets of all nodes that stand in a list beside
-one of a fitting size are made once more and written. A node's reach is the number of its tokens that other written
-sets hold too; no node can share more than that, so those whose reach is under 0.75 of their size leave all lists, and
-a pair is looked at only if the lesser reach allows the threshold. That takes away the fringe of large families
-(copies changed too much to link), which otherwise would meet every member.
+one of a fitting size are compared as a whole: a node's reach is the number of its tokens that other such sets hold
+too. No node can share more than that, so those whose reach is under 0.75 of their size leave all lists, and a pair is
+looked at only if the lesser reach allows the threshold. That takes away the fringe of large families (copies changed
+too much to link), which otherwise would meet every member. The sets of the nodes that remain are written once.
 
 Index lists are then read twice. First each member meets the hubs of its lists; verified links make components, so
 most of a family of near copies is one component after a few comparisons a member. Then only pairs of different
@@ -25,7 +25,7 @@ with the written sets. Nothing but fixed-size sketches reaches the driver.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -259,16 +259,11 @@ def _spot(key: F.Column, k: int) -> F.Column:
     return F.shiftrightunsigned(key, 13 * k).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1)).cast("int")
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(node, n, often, tokens) of the texts that a Bloom filter of ``wanted`` (text_key) lets through.
+def _let_through(docs: DataFrame, wanted: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]]:
+    """(node, tokens) of the texts in batches of (text_key, text) that a Bloom filter of ``wanted`` (text_key) lets through, each node once."""
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
-    ``often`` counts tokens of frequent classes. A task gives a node once; several tasks may give the same one.
-    """
-    context = docs.sparkSession.sparkContext
-    bloom, shared = context.broadcast(_bloom(wanted)), context.broadcast(levels)
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("often", pa.int32()), ("tokens", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         bits, seen = bloom.value, set()
         for batch in batches:
             key = batch.column(0).to_numpy().view(np.uint64)
@@ -276,32 +271,47 @@ def token_sets(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFr
             for k in range(BLOOM_HASHES):
                 spot = (key >> np.uint64(13 * k)).astype(np.int64) & ((1 << BLOOM_BITS) - 1)
                 let &= (bits[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
-            chosen = batch.filter(pa.array(let))
-            for start in range(0, chosen.num_rows, 512):
-                nodes, often, sets = [], [], []
-                for tokens in shingle_sets(_texts(chosen.column(1).slice(start, 512))):
-                    if len(tokens) and (node := node_id(tokens)) not in seen:
-                        seen.add(node)
-                        nodes.append(node)
-                        often.append(int((_level(tokens, shared.value) >= FREQUENT).sum()))
-                        sets.append(tokens.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(t) for t in sets], pa.int32()), pa.array(often, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+            for tokens in shingle_sets(_texts(batch.column(1).filter(pa.array(let)))):
+                if len(tokens) and (node := node_id(tokens)) not in seen:
+                    seen.add(node)
+                    yield node, tokens
 
-    return _keyed(docs).select("text_key", "text").mapInArrow(tidy(run), "node bigint, n int, often int, tokens array<bigint>")
+    return run
+
+
+def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, tokens) of the texts of ``wanted`` (text_key), and of a few more. Several tasks may give the same node."""
+    sets_of = _let_through(docs, wanted)
+    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sets, size = [], [], 0
+        for node, tokens in sets_of(batches):
+            nodes.append(node)
+            sets.append(tokens.view(np.int64))
+            size += len(tokens)
+            if size > FLUSH_TOKENS:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+                nodes, sets, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
+    return _keyed(docs).select("text_key", "text").mapInArrow(tidy(run), "node bigint, tokens array<bigint>")
 
-def reaches(sets: DataFrame, levels: np.ndarray, ranges: int) -> DataFrame:
-    """(node, n, reach): of each node's ``n`` tokens, how many some other node of ``sets`` may hold too.
 
-    Tokens of frequent classes count as held by others, so lists here are short. Tokens are told apart by their range
+def reaches(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, ranges: int) -> DataFrame:
+    """(node, reach) of the texts of ``wanted`` (text_key): how many of its tokens some other of these nodes may hold too.
+
+    Tokens of frequent classes count as held by others, so no list here is long. Tokens are told apart by their range
     and 32 more bits: a chance meeting makes a reach one too large, never too small.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    sets_of = _let_through(docs, wanted)
     bits = ranges.bit_length() - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         names: list[int] = []
+        often: list[int] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -309,34 +319,37 @@ def reaches(sets: DataFrame, levels: np.ndarray, ranges: int) -> DataFrame:
             owner = np.repeat(np.arange(len(held)), [len(t) for t in held])
             part = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
             order = np.argsort(part, kind="stable")
-            parts, first, ends = _by_part(part, order)
+            parts, first, ends = _by_part(part, order) if len(part) else ([], [], [])
             low = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype("<u4")[order]
             owner, name = owner[order], np.array(names, "<i8")
-            columns: tuple[list, list, list] = ([], [], [])
-            for a, b in zip(first, ends):
+            rows = []
+            for k, a, b in zip(parts, first, ends):
                 who, counts = np.unique(owner[a:b], return_counts=True)  # owners stand in order within a part
-                for column, value in zip(columns, (name[who], counts.astype("<u4"), low[a:b])):
-                    column.append(value.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "nodes", "counts", "tokens"])
-
-        for batch in batches:
-            for node, values in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = values.values.to_numpy().view(np.uint64)
-                tokens = tokens[_level(tokens, shared.value) < FREQUENT]
-                if len(tokens):
-                    held.append(tokens)
-                    names.append(node)
-                    size += len(tokens)
-                if size > FLUSH_TOKENS:
-                    yield flush()
-                    held, names, size = [], [], 0
-        if held:
+                rows.append((int(k), name[who].tobytes(), counts.astype("<u4").tobytes(), low[a:b].tobytes()))
+            # Negative parts carry the numbers of frequent tokens.
+            own = -1 - (name & (ranges - 1))
+            rows += [(int(k), name[own == k].tobytes(), np.array(often, "<u4")[own == k].tobytes(), b"") for k in np.unique(own)]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "nodes", "counts", "tokens"])
+
+        for node, tokens in sets_of(batches):
+            rare = tokens[_level(tokens, shared.value) < FREQUENT]
+            held.append(rare)
+            names.append(node)
+            often.append(len(tokens) - len(rare))
+            size += len(tokens)
+            if size > FLUSH_TOKENS:
+                yield flush()
+                held, names, often, size = [], [], [], 0
+        if names:
             yield flush()
 
     def count(found: pa.Table) -> pa.Table:
         every = lambda c, kind: np.concatenate([np.frombuffer(b.as_py(), kind) for b in found[c]])
-        names, place = np.unique(every("nodes", "<i8"), return_inverse=True)
-        owner = np.repeat(place, every("counts", "<u4")).astype(np.int32)
+        names, at, place = np.unique(every("nodes", "<i8"), return_index=True, return_inverse=True)
+        counts = every("counts", "<u4")
+        if found["part"][0].as_py() < 0:
+            return pa.table({"node": names, "held": counts[at].astype(np.int64)})
+        owner = np.repeat(place, counts).astype(np.int32)
         tokens = every("tokens", "<u4")
         order = np.lexsort((owner, tokens))
         tokens, owner = tokens[order], owner[order]
@@ -349,10 +362,8 @@ def reaches(sets: DataFrame, levels: np.ndarray, ranges: int) -> DataFrame:
         times = np.bincount(owner[held], minlength=len(names))
         return pa.table({"node": names[times > 0], "held": times[times > 0].astype(np.int64)})
 
-    parts = sets.select("node", "tokens").mapInArrow(tidy(emit), "part bigint, nodes binary, counts binary, tokens binary")
-    held = parts.groupBy("part").applyInArrow(count, "node bigint, held bigint").groupBy("node").agg(F.sum("held").alias("held"))
-    sizes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("often").alias("often"))
-    return sizes.join(held, "node", "left").select("node", "n", (F.col("often") + F.coalesce("held", F.lit(0))).cast("int").alias("reach"))
+    parts = _keyed(docs).select("text_key", "text").mapInArrow(tidy(emit), "part bigint, nodes binary, counts binary, tokens binary")
+    return parts.groupBy("part").applyInArrow(count, "node bigint, held bigint").groupBy("node").agg(F.sum("held").cast("int").alias("reach"))
 
 
 def _allowed(n: F.Column, m: F.Column, reach: F.Column) -> F.Column:
@@ -505,12 +516,12 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = checkpointed(own.where("node is not null").groupBy("node").agg(F.min("text_key").alias("text_key")))
     every, drop_every = written(index_lists(docs, levels, ranges))
     released(session)
-    wanted = every.select("node").distinct().join(nodes, "node").select("text_key")
-    sets, drop_sets = written(token_sets(docs, wanted, levels))
-    reach = reaches(sets, levels, ranges).where(F.col("reach") * 100 >= F.col("n") * PERCENT).select("node", "reach")
-    lists, drop_lists = written(every.join(reach, "node"))
+    keys = lambda lists: lists.select("node").distinct().join(nodes, "node").select("text_key")
+    reach = reaches(docs, keys(every), levels, ranges)
+    lists, drop_lists = written(every.join(reach, "node").where(F.col("reach") * 100 >= F.col("n") * PERCENT))
     drop_every()
     released(session)
+    sets, drop_sets = written(token_sets(docs, keys(lists)))
     stars = checkpointed(verified(sets, checkpointed(star_pairs(lists, ranges))))
     first = connected_components(stars)
     pairs = checkpointed(cross_pairs(lists, first, ranges))

@@ -394,15 +394,17 @@ def test_salted_lists_still_let_any_two_members_meet():
 
 def test_reach_bounds_what_any_pair_shares(spark):
     rng = np.random.default_rng(6)
-    pool = rng.integers(-(2**63), 2**63, 400)
-    sets = [np.unique(rng.choice(pool, 50)) for _ in range(20)] + [np.unique(rng.integers(-(2**63), 2**63, 30))]
-    rows_ = [(k, len(t), 0, t.tolist()) for k, t in enumerate(sets)]
-    df = spark.createDataFrame(rows_ + rows_[:1], "node long, n int, often int, tokens array<bigint>").repartition(3)
+    vocabulary = ["w%d" % k for k in range(4)]
+    texts = [" ".join(rng.choice(vocabulary, int(rng.integers(3, 60)))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:2])), "doc_id long, text string").repartition(3)
+    sets = {jaccard.node_id(t): t for t in jaccard.shingle_sets(texts)}
     rare = np.zeros(1 << jaccard.CLASS_BITS, np.uint8)
-    got = {r["node"]: r["reach"] for r in jaccard.reaches(df, rare, 8).collect()}
-    for k, t in enumerate(sets):
-        others = np.concatenate([o for j, o in enumerate(sets) if j != k])
-        assert got[k] == np.isin(t, others).sum()
+    for levels in (rare, np.where(np.arange(len(rare)) % 3, rare, np.uint8(jaccard.FREQUENT))):
+        got = {r["node"]: r["reach"] for r in jaccard.reaches(docs, jaccard._keyed(docs), levels, 8).collect()}
+        for node, t in sets.items():
+            others = np.concatenate([o for k, o in sets.items() if k != node])
+            often = jaccard._level(t, levels) >= jaccard.FREQUENT
+            assert got.get(node, 0) == (often | np.isin(t, others)).sum()
 
 
 def test_components(spark):
