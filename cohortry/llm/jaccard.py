@@ -16,10 +16,10 @@ looked at only if the lesser reach allows the threshold. That takes away the fri
 too much to link), which otherwise would meet every member. The sets of the nodes that remain are written once.
 
 Index lists are then read twice. First each member meets the hubs of its lists; verified links make components, so
-most of a family of near copies is one component after a few comparisons a member. Then only pairs of different
-components are listed, and those whose prefixes share too little for the threshold go. Of the rest, each node's best
-partners are verified first, and what is still apart after that is verified exactly, all of it. Verifying is a join
-with the written sets. Nothing but fixed-size sketches reaches the driver.
+most of a family of near copies is one component after a few comparisons a member. Then a node that stands in a list
+beside one of a larger component asks that one's family, once, whatever they share besides: its set is counted
+against the sets of all members in bounded blocks, so pairs never become rows, and only links come out. Verifying is
+exact everywhere. Nothing but fixed-size sketches reaches the driver.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, mix64, released, sequence_hash, tidy, window_hashes, written
+from .common import Words, checkpointed, chunks, mix64, released, sequence_hash, tidy, trim, window_hashes, written
 
 WIDTH = 5
 PERCENT = 75
@@ -48,7 +48,10 @@ BLOOM_HASHES = 4
 DOCS_PER_RANGE = 8192
 FLUSH_ENTRIES = 1 << 18
 FLUSH_TOKENS = 1 << 20
-PAIRS_AT_ONCE = 1 << 19
+ROWS_AT_ONCE = 1 << 19
+#: A unit of comparison holds about so many sets of either side; a task of comparisons holds about so many tokens.
+BLOCK_NODES = 256
+TOKENS_A_TASK = 1 << 21
 _FIRST, _SECOND = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 _SALT, _OTHER = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -348,7 +351,7 @@ def reaches(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, ranges: int)
         names, at, place = np.unique(every("nodes", "<i8"), return_index=True, return_inverse=True)
         counts = every("counts", "<u4")
         if found["part"][0].as_py() < 0:
-            return pa.table({"node": names, "held": counts[at].astype(np.int64)})
+            return packed(names, counts[at].astype(np.int64))
         owner = np.repeat(place, counts).astype(np.int32)
         tokens = every("tokens", "<u4")
         order = np.lexsort((owner, tokens))
@@ -360,10 +363,21 @@ def reaches(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, ranges: int)
         held[1:] |= same
         held[:-1] |= same
         times = np.bincount(owner[held], minlength=len(names))
-        return pa.table({"node": names[times > 0], "held": times[times > 0].astype(np.int64)})
+        return packed(names[times > 0], times[times > 0].astype(np.int64))
+
+    def packed(names: np.ndarray, held: np.ndarray) -> pa.Table:
+        home = names & (ranges - 1)
+        order = np.argsort(home, kind="stable")
+        homes, first, ends = _by_part(home, order) if len(home) else ([], [], [])
+        names, held = names[order].astype("<i8"), held[order].astype("<u4")
+        return pa.table({"home": pa.array(homes, pa.int64()), "nodes": pa.array([names[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), "held": pa.array([held[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())})
+
+    def add(found: pa.Table) -> pa.Table:
+        names, place = np.unique(np.concatenate([np.frombuffer(b.as_py(), "<i8") for b in found["nodes"]]), return_inverse=True)
+        return pa.table({"node": names, "reach": np.bincount(place, np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in found["held"]])).astype(np.int32)})
 
     parts = _keyed(docs).select("text_key", "text").mapInArrow(tidy(emit), "part bigint, nodes binary, counts binary, tokens binary")
-    return parts.groupBy("part").applyInArrow(count, "node bigint, held bigint").groupBy("node").agg(F.sum("held").cast("int").alias("reach"))
+    return parts.groupBy("part").applyInArrow(count, "home bigint, nodes binary, held binary").groupBy("home").applyInArrow(add, "node bigint, reach int")
 
 
 def _allowed(n: F.Column, m: F.Column, reach: F.Column) -> F.Column:
@@ -376,7 +390,7 @@ def _with_part(lists: DataFrame, ranges: int) -> DataFrame:
 
 
 def star_pairs(lists: DataFrame, ranges: int, partners: int = 3) -> DataFrame:
-    """(a, b): each node with the hubs that it meets most often, if sizes and reach allow a link.
+    """(a, b, nth): each node a with the hubs b that it meets most often, in that order, if sizes and reach allow a link.
 
     A list has two hubs: the member that meets most others in its range's lists, and the one of the largest reach for
     its size. Of a family of near copies both are central ones.
@@ -406,74 +420,114 @@ def star_pairs(lists: DataFrame, ranges: int, partners: int = 3) -> DataFrame:
     met = _with_part(lists, ranges).groupBy("part").applyInArrow(meet, "a bigint, b bigint, met bigint, rare int")
     counts = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("rare").alias("rare"))
     best = counts.where(F.col("met") * 5 >= F.col("rare")).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b")))
-    return best.where(F.col("nth") <= partners).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return best.where(F.col("nth") <= partners).select("a", "b", "nth")
+
 
+def families(lists: DataFrame, components: DataFrame, stars: DataFrame) -> DataFrame:
+    """(node, n, component, size, family) of the nodes in ``lists``; any partition into families gives the same links.
+
+    A node's family is its component or, if it has none, that of the hub it meets most often. ``size`` is the
+    component's number of nodes.
+    """
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    known = components.join(sizes, "component").select("node", "component", "size")
+    hubs = stars.where("nth = 1").select(F.col("a").alias("node"), F.col("b").alias("hub")).join(components.select(F.col("node").alias("hub"), F.col("component").alias("of_hub")), "hub", "left")
+    nodes = lists.groupBy("node").agg(F.first("n").alias("n")).join(known, "node", "left").join(hubs, "node", "left")
+    return nodes.select("node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "of_hub", "hub", "node").alias("family"))
 
-def cross_pairs(lists: DataFrame, components: DataFrame, ranges: int) -> DataFrame:
-    """(a, b, met) of different components that share an index key and enough of it for the threshold."""
-    named = lists.join(components.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("rare_a", pa.int32()), ("rare_b", pa.int32()), ("met", pa.int32())])
 
-    def pairs(found: pa.Table) -> pa.Table:
-        key, node, component = (found[c].to_numpy() for c in ("key", "node", "component"))
-        n, rare, reach = found["n"].to_numpy().astype(np.int64), found["rare"].to_numpy(), found["reach"].to_numpy().astype(np.int64)
-        order = np.lexsort((component, key))
-        key, node, component, n, rare, reach = key[order], node[order], component[order], n[order], rare[order], reach[order]
+def questions(lists: DataFrame, grouped: DataFrame, ranges: int) -> DataFrame:
+    """(node, family): a node must be compared with a family if a list holds it beside one of another component.
+
+    Of two components the smaller one asks (ties: the smaller id), so the members of a large one never do for the sake
+    of its fringe. There is one row for a node and a family, however many members they meet in however many lists.
+    """
+    fields = pa.schema([("node", pa.int64()), ("family", pa.int64())])
+
+    def ask(found: pa.Table) -> pa.Table:
+        key, node, component, family = (found[c].to_numpy() for c in ("key", "node", "component", "family"))
+        n, reach, size = (found[c].to_numpy().astype(np.int64) for c in ("n", "reach", "size"))
         if not len(key):
             return fields.empty_table()
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        start = np.flatnonzero(fresh)
-        end = np.append(start[1:], len(key))
-        block = np.flatnonzero(fresh | np.concatenate([[True], component[1:] != component[:-1]]))
-        # A member meets those of its list behind its own component: pairs of one component are never made.
-        behind = np.repeat(np.append(block[1:], len(key)), np.diff(np.append(block, len(key))))
-        counts = np.repeat(end, end - start) - behind
-        names, place = np.unique(node, return_inverse=True)
-        width = np.int64(len(names))
-        codes, times = np.empty(0, np.int64), np.empty(0, np.int64)
-        held: list[np.ndarray] = []
+        order = np.lexsort((family, key))
+        key, node, component, family, n, reach, size = (x[order] for x in (key, node, component, family, n, reach, size))
+        by_rank = np.lexsort((component, size))
+        changes = np.concatenate([[0], (np.diff(size[by_rank]) != 0) | (np.diff(component[by_rank]) != 0)])
+        rank = np.empty(len(key), np.int64)
+        rank[by_rank] = np.cumsum(changes)
+        new_list = np.concatenate([[True], key[1:] != key[:-1]])
+        group = np.flatnonzero(new_list | np.concatenate([[True], family[1:] != family[:-1]]))  # the families of each list
+        top, least, most, far = np.maximum.reduceat(rank, group), np.minimum.reduceat(n, group), np.maximum.reduceat(n, group), np.maximum.reduceat(reach, group)
+        list_of = np.cumsum(new_list) - 1
+        first_group = np.searchsorted(list_of[group], np.arange(list_of[-1] + 2))
+        counts = np.diff(first_group)[list_of]
         upto = np.concatenate([[0], np.cumsum(counts)])
-        at = waiting = 0
-        while at < len(counts):
-            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS_AT_ONCE, side="right")) - 1)
-            some = counts[at:stop]
-            i = np.repeat(np.arange(at, stop), some)
-            j = np.repeat(behind[at:stop], some) + np.arange(len(i)) - np.repeat(upto[at:stop] - upto[at], some)
-            fits = np.minimum(reach[i], reach[j]) * (100 + PERCENT) >= (n[i] + n[j]) * PERCENT
-            i, j = place[i[fits]], place[j[fits]]
-            held.append(np.minimum(i, j) * width + np.maximum(i, j))
-            waiting += len(held[-1])
+        out: list[np.ndarray] = []
+        names, who = np.unique(node, return_inverse=True)
+        homes, home = np.unique(family, return_inverse=True)
+        at = 0
+        while at < len(key):
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + ROWS_AT_ONCE, side="right")) - 1)
+            i = np.repeat(np.arange(at, stop), counts[at:stop])
+            g = first_group[list_of[i]] + np.arange(len(i)) - np.repeat(upto[at:stop] - upto[at], counts[at:stop])
+            fits = (top[g] > rank[i]) & (n[i] * 100 >= least[g] * PERCENT) & (most[g] * 100 >= n[i] * PERCENT) & (np.minimum(reach[i], far[g]) * (100 + PERCENT) >= (n[i] + least[g]) * PERCENT)
+            out = [np.unique(np.concatenate([*out, who[i[fits]] * np.int64(len(homes)) + home[group[g[fits]]]]))]
             at = stop
-            if waiting > 4 * PAIRS_AT_ONCE or at == len(counts):  # a pair is held once, with how often it was met
-                fresh_codes, fresh_times = np.unique(np.concatenate(held), return_counts=True)
-                merged, which = np.unique(np.concatenate([codes, fresh_codes]), return_inverse=True)
-                codes, times = merged, np.bincount(which, np.concatenate([times, fresh_times]), minlength=len(merged)).astype(np.int64)
-                held, waiting = [], 0
-        first_of = np.full(len(names), len(node), np.int64)
-        np.minimum.at(first_of, place, np.arange(len(node)))
-        i, j = codes // width, codes % width
-        a, b = first_of[i], first_of[j]
-        return pa.table([pa.array(x, f.type) for x, f in zip((names[i], names[j], n[a], n[b], rare[a], rare[b], times), fields)], schema=fields)
-
-    found = _with_part(named, ranges).groupBy("part").applyInArrow(pairs, "a bigint, b bigint, n_a int, n_b int, rare_a int, rare_b int, met int")
-    whole = found.groupBy("a", "b").agg(F.sum("met").alias("met"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "rare_a", "rare_b")])
-    # Of the document whose rare prefix ends first, all shared tokens are among those met or behind its prefix.
-    most = F.col("met") + F.greatest(F.col("n_a") - F.col("rare_a"), F.col("n_b") - F.col("rare_b"))
-    return whole.where(_allowed(F.col("n_a"), F.col("n_b"), most)).select("a", "b", "met")
-
-
-def best_partners(pairs: DataFrame, partners: int = 2) -> DataFrame:
-    """Each node's pairs of the most shared keys."""
-    both = pairs.select("a", "b", "met").union(pairs.select("b", "a", "met"))
-    ranked = both.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).where(F.col("nth") <= partners)
-    return ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def still_apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs whose nodes are in different components; a node without one is its own."""
-    of = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        return pa.table([names[out[0] // len(homes)], homes[out[0] % len(homes)]], schema=fields)
+
+    named = lists.select("key", "node", "n", "reach").join(grouped.drop("n"), "node")
+    return _with_part(named, ranges).groupBy("part").applyInArrow(ask, "node bigint, family bigint").distinct()
+
+
+def answers(asked: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of each asking node to the families it asks, at least one for each component that it links with.
+
+    A family is cut into blocks of about ``BLOCK_NODES`` members, those who ask it likewise; a unit is one block of
+    each, so that no task holds a whole family. A unit counts shared tokens on an inverted index of its members.
+    """
+    n_members = grouped.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
+    sides = checkpointed(asked.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("turns")).join(n_members, "family"))
+    nth = lambda node, among: F.pmod(F.xxhash64(node), F.col(among))
+    every = lambda among: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(among) - 1))
+    asking = asked.join(sides, "family").withColumn("turn", nth("node", "turns")).withColumn("block", every("blocks")).join(grouped.select("node", "n", "component"), "node")
+    members = grouped.join(sides, "family").withColumn("block", nth("node", "blocks")).withColumn("turn", every("turns"))
+    row = ["family", "block", "turn", "node", "n", "component"]
+    rows = checkpointed(asking.select(*row, F.lit(True).alias("asks")).unionByName(members.select(*row, F.lit(False).alias("asks"))).withColumn("unit", F.xxhash64("family", "block", "turn")).drop("family", "block", "turn"))
+    tasks = 1 + (rows.agg(F.sum("n")).first()[0] or 0) // TOKENS_A_TASK
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def count(found: pa.Table) -> pa.Table:
+        found = found.sort_by([("unit", "ascending"), ("asks", "ascending"), ("node", "ascending")])
+        unit, node, component, asks = (found[c].to_numpy() for c in ("unit", "node", "component", "asks"))
+        tokens = found["tokens"].combine_chunks()
+        values, bounds = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+        a: list[int] = []
+        b: list[int] = []
+        start = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.empty(0, np.int64)
+        for first, end in zip(start, np.append(start[1:], len(unit))):
+            middle = first + int((~asks[first:end]).sum())
+            if middle == first or middle == end:
+                continue
+            sizes = np.diff(bounds[first : middle + 1]).astype(np.int64)
+            pool = values[bounds[first] : bounds[middle]]
+            order = np.argsort(pool, kind="stable")
+            pool, owner = pool[order], np.repeat(np.arange(middle - first), sizes)[order]
+            for x in range(middle, end):
+                mine = values[bounds[x] : bounds[x + 1]]
+                low, high = np.searchsorted(pool, mine, "left"), np.searchsorted(pool, mine, "right")
+                times = high - low
+                at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+                common = np.bincount(owner[at], minlength=middle - first)
+                linked = np.flatnonzero((common * (100 + PERCENT) >= (len(mine) + sizes) * PERCENT) & (component[first:middle] != component[x]))
+                if len(linked):
+                    _, one = np.unique(component[first:middle][linked], return_index=True)
+                    a += [node[x]] * len(one)
+                    b += node[first + linked[one]].tolist()
+        trim()
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=fields)
+
+    dealt = rows.join(sets.dropDuplicates(["node"]), "node").withColumn("part", F.pmod(F.col("unit"), F.lit(int(tasks))))
+    return dealt.select("part", "unit", "node", "component", "asks", "tokens").groupBy("part").applyInArrow(count, "a bigint, b bigint")
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -522,15 +576,14 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     drop_every()
     released(session)
     sets, drop_sets = written(token_sets(docs, keys(lists)))
-    stars = checkpointed(verified(sets, checkpointed(star_pairs(lists, ranges))))
-    first = connected_components(stars)
-    pairs = checkpointed(cross_pairs(lists, first, ranges))
+    stars = checkpointed(star_pairs(lists, ranges))
+    first = connected_components(verified(sets, stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    grouped = checkpointed(families(lists, first, stars))
+    asked = checkpointed(questions(lists, grouped, ranges))
     drop_lists()
     released(session)
     # Components go on as edges to their smallest node, with the links between them.
-    edges = lambda components: components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    second = connected_components(edges(first).union(verified(sets, checkpointed(best_partners(pairs)))))
-    last = connected_components(edges(second).union(verified(sets, checkpointed(still_apart(pairs, second)))))
+    last = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(answers(asked, grouped, sets)))
     drop_sets()
     released(session)
     return own, nodes.join(last, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
