@@ -7,8 +7,9 @@ half takes an exact multivariate-hypergeometric draw of half the visits, drawn u
 A shard then reads the runs of visits that its leaf owns; runs are disjoint and together they are all visits.
 Inside a shard, rows are put in a seeded order of their own.
 
-Only the quota vector (one number per source) is ever in one row. Documents meet block plans in a join on
-(source, block), whose keys hold about ``block_words`` words each however large the source is.
+Only the quota vector (one number per source) is ever in one row, and it counts at most some 2^21 visits: blocks hold
+``block_words`` words, more where the corpus would have over ``MOST_BLOCKS`` blocks. Documents meet block plans in a
+join on (source, block), whose keys hold one block's words however large the source is.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
 EPOCH_LIMIT = 2.0
 BLOCK_WORDS = 1 << 18
+MOST_BLOCKS = 1 << 20
 SHARDS = 8
+FILL_ROUNDS = 6
+BROADCAST_ROWS = 100_000
 _UNIT = float(1 << 31)
 
 
@@ -102,25 +106,27 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return leaves.withColumn("to_visit", F.sum("n").over(upto)).select("source_key", "shard", (F.col("to_visit") - F.col("n")).alias("from_visit"), "to_visit").where("to_visit > from_visit")
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 11, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, limit: float = EPOCH_LIMIT) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source): what the mix takes of it.
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table of sources, marked for broadcast if it is no larger than ``BROADCAST_ROWS``; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    Columns: doc_id, size (words; null or wordless text: 0), source_size, target, taken (words, repeats counted),
-    visits (array of struct(epoch, shard, words), one per time the mix reads the document).
 
-    A null source is a source like any other and comes last. Sources of size 0 have target 0. The document at
-    which a source's target ends gives only its first words, so a source's taken words are its target, rounded.
-    Repeated rows count as often as they stand; an empty table gives an empty result; other columns are ignored.
-    Ties between equal hashes are broken by doc_id and text. The same rows and seed give the same result.
+def _plan(docs: DataFrame, shards: int, block_words: int, seed: int, weights: tuple[float, ...], share: float, limit: float) -> DataFrame:
+    """What the mix takes of each row: doc_id, source_key, text_key, size, source_size, target, block, visits.
+
+    Rows that agree in doc_id, source and text are read alike.
     """
-    own = checkpointed(docs.select("doc_id", "text", "source").select("doc_id", source_key(F.col("source")).alias("source_key"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("lot")))
+    own = docs.select("doc_id", source_key(F.col("source")).alias("source_key"), F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("size"))
+    own = checkpointed(own.withColumn("lot", F.xxhash64(F.lit(seed), "doc_id", "text_key")))
     targets = source_targets(own.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, limit)
-    # The plan of sources goes out to the documents twice; its rows are sources, and Spark sizes the join.
-    sources = targets.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
+    # Blocks grow with the corpus, so that the tree never draws more than about TOTAL_SHARE times MOST_BLOCKS visits.
+    block = F.greatest(F.lit(float(block_words)), F.sum("source_size").over(Window.partitionBy(F.lit(0))) / MOST_BLOCKS)
+    sources = targets.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long"))
     sources = sources.withColumn("goal", F.round("target").cast("long")).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", F.col("goal") - F.col("passes") * F.col("source_size"))
-    sources = checkpointed(sources.select("source_key", "source_size", "target", "n_blocks", "passes", "rest"))
-    placed = own.join(sources, "source_key").withColumn("block", F.pmod("lot", F.col("n_blocks")))
-    blocks = placed.groupBy("source_key", "block").agg(F.sum("size").alias("block_size"), F.first("n_blocks").alias("n_blocks"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
+    sources = _small(checkpointed(sources.select("source_key", "source_size", "target", "n_blocks", "passes", "rest")))
+    every = own.join(sources, "source_key").withColumn("block", F.pmod("lot", F.col("n_blocks")))
+    placed = every.where("size > 0")
+    blocks = placed.groupBy("source_key", "block").agg(F.sum("size").alias("block_size"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     before = Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # A hash leaves some block numbers without a document, so visits count the blocks there are.
     blocks = checkpointed(
@@ -136,46 +142,66 @@ def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, s
         blocks.select("source_key", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("epoch"), (F.col("epoch") * F.col("n_blocks") + F.col("nth")).alias("visit"), "passes", "left_over")
         .where((F.col("epoch") < F.col("passes")) | (F.col("left_over") > 0))
     )
-    plan = visit.join(runs, (visit["source_key"] == runs["source_key"]) & (visit["visit"] >= runs["from_visit"]) & (visit["visit"] < runs["to_visit"])).select(visit["source_key"], "block", "epoch", "shard")
-    plan = plan.groupBy("source_key", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("reads"))
-    plan = blocks.join(plan, ["source_key", "block"], "left").select("source_key", "block", "block_size", "left_over", "reads")
+    reads = visit.join(runs, (visit["source_key"] == runs["source_key"]) & (visit["visit"] >= runs["from_visit"]) & (visit["visit"] < runs["to_visit"])).select(visit["source_key"], "block", "epoch", "shard")
+    reads = reads.groupBy("source_key", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("reads"))
+    plan = blocks.join(reads, ["source_key", "block"], "left").select("source_key", "block", "block_size", "left_over", "reads")
     joined = placed.join(plan, ["source_key", "block"])
-    # Only the documents of a source's last block are ordered; it holds one block's words however large the source.
+    # Only the documents of a source's last block are ordered; it holds one block's words however large the source is.
     last = (F.col("left_over") > 0) & (F.col("left_over") < F.col("block_size"))
-    cut = Window.partitionBy("source_key").orderBy("lot", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    ending = joined.where(last).withColumn("words", F.greatest(F.lit(0), F.least("size", F.col("left_over") - F.coalesce(F.sum("size").over(cut), F.lit(0)))))
-    others = joined.where(~F.coalesce(last, F.lit(False))).withColumn("words", F.when(F.col("left_over") > 0, F.col("size")).otherwise(0))
-    every = others.unionByName(ending)
-    reads = F.filter(
-        F.transform(
-            F.coalesce("reads", F.expr("cast(array() as array<struct<epoch:bigint,shard:int>>)")),
-            lambda r: F.struct(r["epoch"].alias("epoch"), r["shard"].alias("shard"), F.when(r["epoch"] < F.col("passes"), F.col("size")).otherwise(F.col("words")).alias("words")),
-        ),
-        lambda r: r["words"] > 0,
-    )
-    return every.withColumn("visits", reads).select(
-        "doc_id", "size", "source_size", "target", F.aggregate("visits", F.lit(0).cast("long"), lambda a, r: a + r["words"]).alias("taken"), "visits"
+    ending = joined.where(last).withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("source_key", "doc_id", "text_key")))
+    alike = Window.partitionBy("source_key", "doc_id", "text_key").orderBy("size")
+    ending = ending.withColumn("alike", F.row_number().over(alike)).withColumn("more", F.lit(False)).withColumn("words_left", F.col("left_over"))
+    # Whole documents are taken in the order of their lot as long as they fit, then of those behind the first that does
+    # not the ones that still fit, and so on: what is missing in the end is less than nearly every document left.
+    order = Window.partitionBy("source_key").orderBy("lot", "doc_id", "text_key", "alike")
+    for _ in range(FILL_ROUNDS):
+        # Equal rows stand for one of their total size at the first of them.
+        offer = F.when(~F.col("more") & (F.col("alike") == 1) & (F.col("size") * F.col("times") <= F.col("words_left")), F.col("size") * F.col("times")).otherwise(0)
+        upto = F.sum("offer").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        ending = ending.withColumn("offer", offer).withColumn("now", (F.col("offer") > 0) & (upto <= F.col("words_left")))
+        ending = ending.withColumn("words_left", F.col("words_left") - F.sum(F.when(F.col("now"), F.col("offer")).otherwise(0)).over(Window.partitionBy("source_key")))
+        ending = ending.withColumn("more", F.col("more") | F.col("now"))
+    # The smallest one left goes in if the end is nearer to the target with it.
+    whole = F.struct((F.col("size") * F.col("times")).alias("size"), "lot", "doc_id", "text_key")
+    least = F.min(F.when(~F.col("more") & (F.col("alike") == 1), whole)).over(Window.partitionBy("source_key"))
+    ending = ending.withColumn("least", least).withColumn("more", F.col("more") | (whole.eqNullSafe(F.col("least")) & (F.col("alike") == 1) & (F.col("least.size") < F.col("words_left") * 2)))
+    ending = ending.withColumn("more", F.max("more").over(Window.partitionBy("source_key", "doc_id", "text_key"))).drop("times", "alike", "words_left", "offer", "now", "least")
+    others = joined.where(~F.coalesce(last, F.lit(False))).withColumn("more", F.col("left_over") > 0)
+    none = F.expr("cast(array() as array<struct<epoch:bigint,shard:int,words:bigint>>)")
+    visits = F.transform(
+        F.filter(F.coalesce("reads", F.expr("cast(array() as array<struct<epoch:bigint,shard:int>>)")), lambda r: (r["epoch"] < F.col("passes")) | F.col("more")),
+        lambda r: F.struct(r["epoch"].alias("epoch"), r["shard"].alias("shard"), F.col("size").alias("words")),
     )
+    columns = ["doc_id", "source_key", "text_key", "size", "source_size", "target", "block"]
+    return others.unionByName(ending).select(*columns, visits.alias("visits")).unionByName(every.where("size = 0").select(*columns, none.alias("visits")))
+
+
+def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 11, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, limit: float = EPOCH_LIMIT) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source): what the mix takes of it.
+
+    Columns: doc_id, size (words; null or wordless text: 0), source_size, target, taken (words, repeats counted),
+    visits (array of struct(epoch, shard, words), one per time the mix reads the document: what the tree's runs give).
+
+    A null source is a source like any other and comes last. Sources of size 0 have target 0. Documents are taken
+    whole: in the block where a source's target ends, those that fit in, and then the smallest of the rest if that ends
+    nearer, so taken words miss the target by half of a small document at most. Rows that agree in doc_id, source and text are taken alike;
+    an empty table gives an empty result; other columns are ignored. The same rows and seed give the same result.
+    """
+    taken = F.aggregate("visits", F.lit(0).cast("long"), lambda a, r: a + r["words"])
+    return _plan(docs, shards, block_words, seed, weights, share, limit).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "visits")
 
 
-def mixed_documents(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 11, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, limit: float = EPOCH_LIMIT) -> DataFrame:
     """The rows of the mix with the columns of ``docs``: a document stands once per visit, shards in local random order.
 
-    The document at which a source's target ends is cut after its last taken word (n_chars follows); wordless
-    documents are never taken. doc_id and text together name a row; equal rows share one decision.
+    Texts are whole; wordless documents are never taken. Rows that agree in doc_id, source and text share one decision,
+    and each of them stands once per visit. Columns may have any names.
     """
-    columns = docs.columns
-    plan = mix(docs, seed=seed, **options).where("size > 0").select(F.col("doc_id").alias("_doc"), F.col("visits").alias("_visits"), F.col("size").alias("_size"))
-    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc", "_size").orderBy(F.size("_visits"), F.col("_visits"))))
-    rows = docs.withColumn("_size", n_words(F.col("text")))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.xxhash64("text", "source"))))
-    visits = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_doc"]) & (rows["_size"] == plan["_size"]) & (rows["_nth"] == plan["_nth"])).select(*[rows[c] for c in columns], rows["_size"].alias("_all"), F.explode("_visits").alias("_v"))
-    # Each piece is a word with the space after it; a piece of leading space comes first, if any.
-    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    short = F.array_join(F.slice(pieces, F.lit(1), (F.col("_v.words") + lead).cast("int")), "")
-    text = F.when(F.col("_v.words") < F.col("_all"), short).otherwise(F.col("text"))
-    out = visits.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_v.words") < F.col("_all"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.repartition(F.col("_v.shard"), F.pmod(F.xxhash64("doc_id", "_v.epoch"), F.lit(16))).sortWithinPartitions(F.col("_v.shard"), F.xxhash64(F.lit(seed), "doc_id", "_v.epoch", "text")).select(*columns)
+    plan = _plan(docs, shards, block_words, seed, weights, share, limit).where(F.size("visits") > 0)
+    plan = plan.select("doc_id", "source_key", "text_key", "block", "visits").dropDuplicates(["doc_id", "source_key", "text_key"])
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    rows = docs.select(row, docs["doc_id"].alias("id"), source_key(docs["source"]).alias("from"), F.xxhash64(docs["text"]).alias("key"))
+    taken = rows.join(plan, rows["id"].eqNullSafe(plan["doc_id"]) & (rows["from"] == plan["source_key"]) & (rows["key"] == plan["text_key"]))
+    visits = taken.select("row", "id", "key", "from", "block", F.explode("visits").alias("visit"))
+    own = F.xxhash64(F.lit(seed), "id", "key", "visit.epoch")
+    return visits.repartition("visit.shard", "from", "block").sortWithinPartitions("visit.shard", own).select("row.*")

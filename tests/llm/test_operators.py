@@ -96,7 +96,7 @@ def test_media_damage_is_an_error(spark):
 
 
 def test_mixing(edge_docs, no_docs):
-    got = mixing.mix(edge_docs, block_words=200).collect()
+    got = mixing.mix(edge_docs).collect()
     sizes, source_of = defaultdict(int), {}
     for doc_id, text, _, source, _ in rows():
         sizes[source] += len(words(text))
@@ -119,9 +119,13 @@ def test_mixing(edge_docs, no_docs):
         assert r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[s]
         assert r["target"] == pytest.approx(target[s])
         assert sum(v["words"] for v in r["visits"]) == r["taken"]
-    for s in order:
-        assert abs(taken[s] - target[s]) <= 1
+    for s in order:  # whole documents: no smaller miss is left than half of the smallest one that could still go in
+        passes = int(round(target[s]) // sizes[s]) if sizes[s] else 0
+        left = [r["size"] for r in got if source_of[r["doc_id"]] == s and r["size"] and r["taken"] == passes * r["size"]]
+        assert abs(taken[s] - target[s]) <= (min(left) / 2 if left and round(target[s]) % sizes[s] else 0) + 1
+        assert all(r["taken"] % r["size"] == 0 for r in got if r["size"])
     assert len(got) == len(rows()) and mixing.mix(no_docs).count() == 0
+    got = mixing.mix(edge_docs, block_words=200).collect()
     again = mixing.mix(edge_docs.repartition(5), block_words=200).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
@@ -132,6 +136,32 @@ def test_mixed_documents_carry_the_mix(edge_docs):
     out = mixing.mixed_documents(docs, block_words=200)
     assert out.columns == docs.columns
     assert sum(len(words(r["text"])) for r in out.collect()) == sum(r["taken"] for r in plan)
+    assert mixing.mixed_documents(edge_docs).columns == edge_docs.columns
+
+
+def test_mixed_documents_tell_rows_of_one_id_and_size_apart(spark):
+    """Per source, the words of the mix are those that the plan takes; texts are whole and stand as often as planned."""
+    docs = [(k % 3 if k % 4 else None, prose(k // 2, 5), "s%d" % (k % 5) if k % 5 else None) for k in range(120)]
+    docs += docs[:7]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    plan = mixing._plan(df, 8, 40, 11, mixing.WEIGHTS, mixing.TOTAL_SHARE, mixing.EPOCH_LIMIT).collect()
+    want, got = Counter(), Counter()
+    for r in plan:
+        want[r["source_key"]] += sum(v["words"] for v in r["visits"])
+    mixed = mixing.mixed_documents(df, block_words=40).collect()
+    for r in mixed:
+        got["1" if r["source"] is None else "0" + r["source"]] += len(words(r["text"]))
+    assert got == want and sum(want.values()) > 600
+    assert {tuple(r) for r in mixed} <= set(docs) and max(Counter(map(tuple, mixed)).values()) <= 2 * max(Counter(docs).values())
+
+
+def test_taken_words_come_through_the_tree(spark, monkeypatch):
+    """Visits that the tree does not hand out are not taken."""
+    df = spark.createDataFrame([(k, prose(k, 20), "a") for k in range(40)], "doc_id long, text string, source string")
+    whole = sum(r["taken"] for r in mixing.mix(df, block_words=50).collect())
+    tree = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *a: tree(*a).where("shard <> 3"))
+    assert 0 < sum(r["taken"] for r in mixing.mix(df, block_words=50).collect()) < whole
 
 
 def test_splitting_tree_is_an_exact_partition(spark):
