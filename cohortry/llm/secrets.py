@@ -1,20 +1,21 @@
 """Secret scans: fixed patterns, and a character convolutional network over every further candidate.
 
-Candidates are all runs of key-like characters that are long enough and mix classes as prose does not. The network
-(numpy only) reads the candidate's characters and its surroundings: an embedding of character classes, two
+Candidates are all runs of key-like characters that are long enough and mix classes as prose does not (such runs with
+single dots between them are one candidate). The network, numpy only, scores every candidate, whether or not pattern
+findings lie in it; reads the candidate's characters and its surroundings: an embedding of character classes, two
 convolutions with maxima over the candidate and over its context, and a logistic output. Longer candidates than its
-window are read in overlapping windows, and the highest score counts; of a candidate that meets pattern findings, the
-parts outside them are candidates. It is trained on labelled
-findings made by rule: secrets of public formats and look-alikes (words, numbers, links, mail addresses, paths) in
-invented contexts. A held-out part calibrates its output (Platt scaling) and sets the threshold: the highest at
-which recall stays at least ``RECALL``. Pattern findings always stay; the network adds spans of kind ``model``.
+window are read in overlapping windows, and the highest score counts. It is trained on labelled findings made by rule:
+secrets of public formats and look-alikes (words, numbers, links, mail addresses, paths) in invented contexts. One
+held-out part calibrates its output (Platt scaling), another sets the threshold, at which recall there is at least
+``RECALL`` and no more look-alikes are found than at the highest such one. Pattern findings always stay; the network adds a span of kind ``model`` for every candidate at
+or above the threshold, over pattern findings too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
@@ -62,26 +65,20 @@ def _key_like(word: bytes) -> bool:
 
 
 def candidates(raw: bytes) -> list[tuple[int, int]]:
-    """Byte spans of key-like runs that hold a digit and a letter, or change case inside."""
+    """Byte spans of key-like runs that hold a digit and a letter, or change case inside; dotted ones are one."""
     marked, run, out = raw.translate(_KEY_MAP), b"k" * LEAST_RUN, []
     at = marked.find(run)
     while at >= 0:
         end = CANDIDATE.match(raw, at).end()
         if _key_like(raw[at:end]):
+            if out and out[-1][1] == at - 1 and raw[at - 1] == 0x2E:
+                at = out.pop()[0]
             out.append((at, end))
         at = marked.find(run, end)
     return out
 
 
-def outside(raw: bytes, start: int, end: int, taken: list[list[int]]) -> list[tuple[int, int]]:
-    """The candidates that are left of one outside ``taken`` (merged spans in order, all of which meet it)."""
-    if not taken:
-        return [(start, end)]
-    edges = [start, *(x for span in taken for x in span), end]
-    return [(s, e) for s, e in zip(edges[::2], edges[1::2]) if e - s >= LEAST_RUN and _key_like(raw[s:e])]
-
-
-def windows(start: int, end: int) -> list[tuple[int, int]]:
+def spans_over(start: int, end: int) -> list[tuple[int, int]]:
     """Windows of at most WINDOW bytes over a candidate, STRIDE apart; the last one ends with it."""
     last = max(start, end - WINDOW)
     return [(s, min(end, s + WINDOW)) for s in [*range(start, last, STRIDE), last]]
@@ -105,7 +102,7 @@ N_CODES = 95
 def features(raw: bytes, start: int, end: int, window: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Codes of a window of a candidate (by default its first) and of the CONTEXT bytes on either side of the candidate."""
     inner, outer = np.zeros(WINDOW, np.int64), np.zeros(2 * CONTEXT, np.int64)
-    first, last = window or windows(start, end)[0]
+    first, last = window or spans_over(start, end)[0]
     word = raw[first:last]
     inner[: len(word)] = _codes(word)
     left, right = raw[max(0, start - CONTEXT) : start], raw[end : end + CONTEXT]
@@ -115,13 +112,16 @@ def features(raw: bytes, start: int, end: int, window: tuple[int, int] | None =
     return inner, outer
 
 
-def labelled_findings(n: int = 3000, seed: int = 5) -> tuple[list[tuple[bytes, int, int]], np.ndarray]:
+def labelled_findings(n: int = 6000, seed: int = 5) -> tuple[list[tuple[bytes, int, int]], np.ndarray]:
     """(text, start, end) and 1 for secrets, 0 for look-alikes, made by rule from a seed."""
     rng = np.random.default_rng(seed)
     pick = lambda signs, k: "".join(rng.choice(list(signs), k))
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    syllables = ["an", "er", "in", "on", "the", "re", "st", "en", "ou", "la", "de", "sch", "ung", "cion", "ment", "tion", "es", "ar", "ble", "ing"]
-    word = lambda k: "".join(rng.choice(syllables, k))
+    onsets = ["", "b", "bl", "br", "c", "ch", "cl", "cr", "d", "dr", "f", "fl", "g", "gr", "h", "j", "k", "l", "m", "n", "p", "pl", "pr", "qu", "r", "s", "sch", "sh", "sp", "st", "str", "t", "th", "tr", "v", "w", "y", "z"]
+    vowels, codas = ["a", "e", "i", "o", "u", "ai", "ea", "ei", "io", "oo", "ou"], ["", "", "", "b", "ck", "ct", "d", "ff", "g", "l", "ll", "m", "n", "nd", "ng", "nt", "p", "r", "rs", "s", "ss", "t", "tt", "x"]
+    draw = random.Random(seed)
+    word = lambda k: "".join(draw.choice(onsets) + draw.choice(vowels) + draw.choice(codas) for _ in range(k))
+    title = lambda k: "".join(word(int(rng.integers(1, 4))).title() for _ in range(k))
     secrets = [
         lambda: pick(lower + upper + digits, int(rng.integers(20, 45))),
         lambda: pick(lower + upper + digits + "+/", int(rng.integers(24, 64))) + "=" * int(rng.integers(0, 3)),
@@ -134,11 +134,11 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> tuple[list[tuple[bytes, i
         lambda: "eyJ" + pick(lower + upper + digits, int(rng.integers(20, 50))),
     ]
     others = [
-        lambda: word(int(rng.integers(6, 12))) + pick(digits, int(rng.integers(1, 4))),
+        lambda: word(int(rng.integers(4, 9))).capitalize() + pick(digits, int(rng.integers(1, 5))) + (word(int(rng.integers(2, 6))) if rng.random() < 0.5 else ""),
         lambda: "-".join(word(2) for _ in range(int(rng.integers(3, 6)))) + str(int(rng.integers(1, 99))),
         lambda: "/".join(word(2) for _ in range(int(rng.integers(3, 6)))) + "/" + pick(digits, int(rng.integers(1, 5))),
-        lambda: word(3).title() + word(3).title() + word(3).title(),
-        lambda: "_".join(word(2) for _ in range(4)) + pick(digits, 2),
+        lambda: (word(2) if rng.random() < 0.5 else "") + title(int(rng.integers(3, 6))),
+        lambda: "_".join(word(2) for _ in range(int(rng.integers(3, 6)))) + rng.choice(["", "_"]) + pick(digits, int(rng.integers(1, 4))),
         lambda: pick(digits, int(rng.integers(12, 20))) + rng.choice(list(lower)),
         lambda: "page-" + pick(digits, 12) + "-" + word(2),
         lambda: word(5).upper() + word(5) + pick(digits, 1),
@@ -150,6 +150,8 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> tuple[list[tuple[bytes, i
     for i in range(n):
         label = i % 2
         body = (secrets if label else others)[int(rng.integers(0, 9))]()
+        if rng.random() < 0.25:  # behind a path in one run of key-like characters
+            body = "/".join(word(int(rng.integers(1, 4))) for _ in range(int(rng.integers(1, 5 if label else 16)))) + "/" + body
         lead = leads[int(rng.integers(0, 9 if label else len(leads)))] if rng.random() < 0.8 else leads[int(rng.integers(5, len(leads)))]
         before = " ".join(word(int(rng.integers(1, 4))) for _ in range(5)) + " " + lead
         text = (before + body + tails[int(rng.integers(0, len(tails)))] + " ".join(word(2) for _ in range(5))).encode()
@@ -195,16 +197,21 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(a * self.raw_score(inner, outer) + b, -30, 30)))
 
 
-def train(n: int = 3000, seed: int = 5, epochs: int = 6, dims: int = 8, kernels: int = 16) -> Network:
-    """Train, calibrate on a held-out fifth, and set the highest threshold with recall of at least RECALL there."""
+def train(n: int = 6000, seed: int = 5, epochs: int = 8, dims: int = 8, kernels: int = 16) -> Network:
+    """Train on eight tenths, calibrate on one, and set the threshold on another.
+
+    It lies half way between the highest that keeps recall at RECALL and the next look-alike's score below that.
+    """
     rows, labels = labelled_findings(n, seed)
-    codes = [features(*r) for r in rows]
-    inner, outer = np.stack([c[0] for c in codes]), np.stack([c[1] for c in codes])
     rng = np.random.default_rng(seed)
+    # A secret is where its candidate ends; a look-alike must not look like one in any window.
+    views = [spans_over(start, end) for _, start, end in rows]
+    codes = [features(text, start, end, v[-1] if label else v[int(rng.integers(0, len(v)))]) for (text, start, end), v, label in zip(rows, views, labels)]
+    inner, outer = np.stack([c[0] for c in codes]), np.stack([c[1] for c in codes])
     net = Network(rng.normal(0, 0.3, (N_CODES, dims)), rng.normal(0, 0.3, (3 * dims, kernels)), rng.normal(0, 0.3, (3 * dims, kernels)), np.zeros(4 * kernels + 1))
     net.embed[0] = 0
-    held = np.arange(n) % 10 >= 8
-    learn = np.flatnonzero(~held)
+    tenth = np.arange(n) // 2 % 10  # secrets and look-alikes alternate
+    learn, calibrate, limit = np.flatnonzero(tenth < 8), tenth == 8, tenth == 9
     moments = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in ("embed", "inner", "outer", "out")}
     step = 0
     for _ in range(epochs):
@@ -235,14 +242,16 @@ def train(n: int = 3000, seed: int = 5, epochs: int = 6, dims: int = 8, kernels:
                 v += 0.001 * g * g
                 getattr(net, k)[...] -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             net.embed[0] = 0
-    raw, y = net.raw_score(inner[held], outer[held]), labels[held]
+    raw, y = net.raw_score(inner[calibrate], outer[calibrate]), labels[calibrate]
     a, b = 1.0, 0.0
     for _ in range(200):  # Platt scaling by gradient steps
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
         a, b = a - 0.05 * ((p - y) * raw).mean(), b - 0.05 * (p - y).mean()
     net.platt = (float(a), float(b))
-    positive = np.sort(net.score(inner[held], outer[held])[y == 1])
-    net.threshold = float(max(0.5, positive[int((1 - RECALL) * len(positive))]))
+    score, y = net.score(inner[limit], outer[limit]), labels[limit]
+    highest = np.sort(score[y == 1])[int((1 - RECALL) * (y == 1).sum())]
+    below = score[(y == 0) & (score < highest)]
+    net.threshold = float((highest + below.max(initial=0.0)) / 2)
     return net
 
 
@@ -253,26 +262,15 @@ def production_network() -> Network:
 
 def find_spans(net: Network, raw: bytes) -> list[tuple[int, int, str]]:
     """All spans of a UTF-8 text in code points, by start and then kind: the base findings and the network's."""
-    base = base_spans(raw)
-    taken: list[list[int]] = []  # base spans, merged where they overlap
-    for s, e, _ in sorted(base):
-        if taken and s <= taken[-1][1]:
-            taken[-1][1] = max(taken[-1][1], e)
-        else:
-            taken.append([s, e])
-    starts, ends = [s for s, _ in taken], [e for _, e in taken]
-    free = []
-    for s, e in candidates(raw):
-        first, last = bisect_right(ends, s), bisect_left(starts, e)
-        free += outside(raw, s, e, [[max(s, a), min(e, b)] for a, b in taken[first:last]])
+    free = candidates(raw)
     # Windows of candidates one after the other, in bounded batches.
     best = np.zeros(len(free))
-    views = ((i, s, e, w) for i, (s, e) in enumerate(free) for w in windows(s, e))
+    views = ((i, s, e, w) for i, (s, e) in enumerate(free) for w in spans_over(s, e))
     while part := list(islice(views, 256)):
         codes = [features(raw, s, e, w) for _, s, e, w in part]
         scores = net.score(np.stack([c[0] for c in codes]), np.stack([c[1] for c in codes]))
         np.maximum.at(best, [i for i, *_ in part], scores)
-    found = base + [(s, e, "model") for (s, e), p in zip(free, best) if p >= net.threshold]
+    found = base_spans(raw) + [(s, e, "model") for (s, e), p in zip(free, best) if p >= net.threshold]
     if not found:
         return []
     if not raw.isascii():  # byte to code point: count the bytes that begin a character
@@ -305,7 +303,7 @@ def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
                 rows["spans"].append(_joined(spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64() if k[:2] == "n_" else pa.string()) for k, v in rows.items())], names=["doc_id", *rows])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -319,24 +317,34 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redacted_documents(docs: DataFrame, net: Network | None = None) -> DataFrame:
-    """All documents, found secrets masked; n_chars follows where it is a column. Columns stay as they are."""
+    """All documents, found secrets masked; n_chars follows where it is a column. Columns stay as they are.
+
+    Null and empty texts stay; rows without findings, repeated rows and null doc_ids go through unchanged.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net or production_network())
     schema = docs.schema
 
+    def mask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names = batch.schema.names
+        texts = batch.column(names.index("text")).to_pylist()
+        sizes = batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
+        changed = False
+        for i, text in enumerate(texts):
+            if text and (spans := find_spans(shared.value, text.encode("utf-8", "surrogatepass"))):
+                texts[i], changed = redact(text, spans), True
+                if sizes:
+                    sizes[i] = len(texts[i])
+        if not changed:
+            return batch
+        columns = list(batch.columns)
+        columns[names.index("text")] = pa.array(texts, pa.string())
+        if sizes is not None:
+            columns[names.index("n_chars")] = pa.array(sizes, batch.schema.field("n_chars").type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            texts = batch.column(names.index("text")).to_pylist()
-            sizes = batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
-            for i, text in enumerate(texts):
-                if text and (spans := find_spans(shared.value, text.encode("utf-8", "surrogatepass"))):
-                    texts[i] = redact(text, spans)
-                    if sizes:
-                        sizes[i] = len(texts[i])
-            columns = list(batch.columns)
-            columns[names.index("text")] = pa.array(texts, pa.string())
-            if sizes is not None:
-                columns[names.index("n_chars")] = pa.array(sizes, batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.mapInArrow(run, schema)
+            for start in range(0, batch.num_rows, 256):
+                yield mask(batch.slice(start, 256))
+
+    return docs.mapInArrow(tidy(run), schema)
