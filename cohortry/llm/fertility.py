@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, window_hashes
+from .common import Words, checkpointed, chunks, tidy, window_hashes
 from .tokens import PieceEncoder
 
 REACH = 1.25
@@ -145,11 +145,11 @@ def document_measures(docs: DataFrame, vocabulary: str | None = None) -> DataFra
         kinds = {"script": pa.string(), **{m: pa.float64() for m in MEASURES}}
         for batch in batches:
             doc_ids = batch.column(0)
-            for start, raws in chunks(batch.column(1).to_pylist()):
+            for start, raws in chunks(text.as_py() for text in batch.column(1)):
                 found = measure(raws)
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(start, len(raws)), *(pa.array(v, kinds.get(k, pa.int64())) for k, v in found.items())], names=["doc_id", *found])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _FIELDS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), _FIELDS)
 
 
 def _level(measure: str) -> Column:

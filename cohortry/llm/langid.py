@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, tidy
 
 ORDER = 4
 SAMPLE_DOCS = 400
@@ -27,10 +27,17 @@ SAMPLE_CHARS = 20_000
 RUN_CHARS = 1 << 18
 HELD_OUT = 5
 UNDETERMINED = "und"
-#: A text is rejected if its cross-entropy (nats per character) is above the training texts' mean by so many deviations.
-REJECT_DEVIATIONS = 14.0
-#: The scatter of a short text's cross-entropy: this over the square root of its length is allowed besides.
-REJECT_SCATTER = 12.0
+#: A text is rejected if its cross-entropy (nats per character) is above the limit for its language and length. Limits
+#: are calibrated on training texts that the models have not seen, cut to each of these lengths: the quantile that
+#: leaves ``REJECT_RATE`` of them above, carried on beyond it by ``REJECT_REACH`` times its distance from their median
+#: (a sample is finite, and a corpus has more kinds of clean text than it).
+LENGTHS = (8, 16, 32, 64, 128, 256, 512, 1024)
+REJECT_RATE = 0.001
+REJECT_REACH = 0.5
+CALIBRATED = 5  # of so many sample texts, one is kept for calibration
+SLICES = 24  # taken at most of one text for one length
+LEAST_SLICES = 50  # with fewer of a length, the limit of the next shorter one holds
+TOTAL_DOCS = 6400  # of all languages, so that many languages do not outgrow the driver
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _START = np.uint32(0x110000)
 
@@ -74,8 +81,7 @@ class Models:
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
     floor: float
-    limits: np.ndarray  # rejection: mean and deviation of the training texts' cross-entropy, per language
-    sharpness: float = 1.0
+    limits: np.ndarray  # rejection: the highest cross-entropy of an accepted text, per language and length
 
 
 def _find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +90,33 @@ def _find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np
     return at, sorted_hashes[at] == wanted
 
 
+def _set_apart(texts: list[str]) -> tuple[list[str], list[str]]:
+    """(texts to learn from, texts to calibrate with); a single text does both."""
+    held = texts[CALIBRATED - 1 :: CALIBRATED]
+    return ([t for k, t in enumerate(texts) if k % CALIBRATED != CALIBRATED - 1], held) if held else (texts, texts)
+
+
+def _limits(models: Models, held: dict[str, list[str]]) -> np.ndarray:
+    """The rejection limit of each language at each of LENGTHS, from texts that the models have not seen."""
+    limits = np.full((len(models.languages), len(LENGTHS)), np.inf)
+    for j, language in enumerate(models.languages):
+        for k, length in enumerate(LENGTHS):
+            slices = []
+            for text in held[language]:
+                step = max(length, len(text) // SLICES)
+                slices += [text[a : a + length] for a in range(0, len(text) - length + 1, step) if has_letter(text[a : a + length])]
+            if len(slices) >= LEAST_SLICES:
+                loss = -_scored(models, slices)[0][:, j]
+                high, middle = np.quantile(loss, 1 - REJECT_RATE), np.median(loss)
+                limits[j, k] = high + REJECT_REACH * (high - middle)
+    return np.minimum.accumulate(limits, axis=1)  # longer texts scatter less
+
+
 def train(samples: dict[str, list[str]]) -> Models:
     """Interpolated Kneser-Ney models of all languages from their sample texts."""
     languages = sorted(samples)
-    points_of = {language: _points(samples[language]) for language in languages}
+    apart = {language: _set_apart(samples[language]) for language in languages}
+    points_of = {language: _points(apart[language][0]) for language in languages}
 
     def counted(language: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct n-grams of order k with their contexts, their last k - 1 characters' hashes, and counts."""
@@ -137,10 +166,8 @@ def train(samples: dict[str, list[str]]) -> Models:
         grams.append((all_grams, np.log(probability).astype(np.float32)))
         contexts.append((all_contexts, np.log(weight).astype(np.float32)))
         lower = (all_grams, probability)
-    models = Models(languages, grams, contexts, math.log(floor), np.zeros((len(languages), 2)))
-    for j, language in enumerate(languages):
-        own = np.array([-s[j] for s, n in zip(*_scored(models, samples[language])) if n >= 100] or [3.0])
-        models.limits[j] = own.mean(), max(own.std(), 0.02)
+    models = Models(languages, grams, contexts, math.log(floor), np.empty((len(languages), len(LENGTHS))))
+    models.limits = _limits(models, {language: held for language, (_, held) in apart.items()})
     return models
 
 
@@ -209,7 +236,8 @@ def identify(models: Models, texts: list[str | None]) -> tuple[list[str], list[f
     evidence = (means - means.max(axis=1, keepdims=True)) * np.minimum(sizes, EVIDENCE)[:, None]
     posterior = 1 / np.exp(evidence).sum(axis=1)
     loss = -means[np.arange(len(best)), best]
-    limit = models.limits[best, 0] + REJECT_DEVIATIONS * models.limits[best, 1] + REJECT_SCATTER / np.sqrt(np.maximum(sizes, 1))
+    at = np.searchsorted(LENGTHS, sizes, "right") - 1  # the limit of the next shorter length; shorter texts than all are kept
+    limit = np.where(at >= 0, models.limits[best, np.maximum(at, 0)], np.inf)
     for i, j, p, e, over in zip(readable, best, posterior, loss, loss > limit):
         languages[i], scores[i], rejected[i], entropy[i] = models.languages[j], float(min(1.0, p)), bool(over), float(e)
     return languages, scores, rejected, entropy
@@ -227,18 +255,22 @@ def _fold() -> F.Column:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Models:
-    """Train on at most about ``sample_docs`` documents of up to ``sample_chars`` characters per language.
+    """Train on at most about ``sample_docs`` documents per language (``TOTAL_DOCS`` in all), long ones by ``sample_chars`` of their characters.
 
     Documents are drawn by a hash of their text, at a rate set by the language's own count, so the sample's size does
-    not depend on the table's. Held-out documents, null languages and null texts are not used.
+    not depend on the table's. Of a longer text a run of ``sample_chars`` characters is learned, which its hash places.
+    Held-out documents, null languages and null texts are not used.
     """
-    rows = training_rows(docs.select("doc_id", "text", "lang")).where(F.length("text").between(1, sample_chars))
+    rows = training_rows(docs.select("doc_id", "text", "lang")).where(F.length("text") > 0)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return Models([], [], [], 0.0, np.zeros((0, 2)))
+        return Models([], [], [], 0.0, np.zeros((0, len(LENGTHS))))
+    sample_docs = min(sample_docs, max(1, TOTAL_DOCS // len(counts)))
     rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_docs / n))]), F.col("lang"))
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate * F.lit(1 << 30))
     samples: dict[str, list[str]] = {}
+    spare = F.greatest(F.length("text") - sample_chars, F.lit(0))
+    drawn = drawn.select("lang", F.substring("text", F.pmod(F.xxhash64(F.lit(1), "text"), spare + 1) + 1, F.lit(sample_chars)).alias("text"))
     # Equal texts are drawn together, so copies are dropped before anything is sent.
     for r in drawn.groupBy("lang", "text").agg(F.lit(1).alias("one")).select("lang", "text").collect():
         samples.setdefault(r["lang"], []).append(r["text"])
@@ -263,7 +295,7 @@ def identify_documents(docs: DataFrame, models: Models) -> DataFrame:
                 found = identify(shared.value, part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v, t) for v, t in zip(found, (pa.string(), pa.float64(), pa.bool_(), pa.float64())))], names=["doc_id", "held_out", "lang_pred", "score", "rejected", "cross_entropy"])
 
-    return docs.select(F.col("doc_id").cast("long"), (_fold() == 0).alias("held_out"), "text").mapInArrow(run, _FIELDS)
+    return docs.select(F.col("doc_id").cast("long"), (_fold() == 0).alias("held_out"), "text").mapInArrow(tidy(run), _FIELDS)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -271,7 +303,10 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """The documents whose language is recognised; those that the models reject go. Columns stay as they are."""
+    """The documents whose language is recognised; those that the models reject go. Columns stay as they are.
+
+    Null texts and texts without a letter go too; null doc_ids and repeated rows are judged by their text alone.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,4 +317,4 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
                 rejected = identify(shared.value, part.column(at).to_pylist())[2]
                 yield part.filter(pa.array([not r for r in rejected]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 BLOCK = 64
 MAX_RUN = 32767
 
@@ -507,7 +509,7 @@ def encode_column(docs: DataFrame) -> DataFrame:
                 raws = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(padded(r), len(r)) for r in raws], pa.binary())], names=["doc_id", "media"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, media binary")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, media binary")
 
 
 def decode_tensors(media: DataFrame) -> DataFrame:
@@ -529,7 +531,7 @@ def decode_tensors(media: DataFrame) -> DataFrame:
                         rows.append({"doc_id": doc_id, "error": f"{type(error).__name__}: {error}"})
                 yield pa.RecordBatch.from_pylist(rows, fields)
 
-    return media.selectExpr("cast(doc_id as bigint) doc_id", "media").mapInArrow(run, "doc_id bigint, height int, width int, rgb binary, error string")
+    return media.selectExpr("cast(doc_id as bigint) doc_id", "media").mapInArrow(tidy(run), "doc_id bigint, height int, width int, rgb binary, error string")
 
 
 _DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -550,7 +552,7 @@ def media_digests(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[f.split()[0] for f in _DIGEST.split(", ")])
 
-    return media.mapInArrow(run, _DIGEST)
+    return media.mapInArrow(tidy(run), _DIGEST)
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:

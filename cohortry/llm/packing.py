@@ -18,6 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .tokens import ByteBpe
 
 SEQUENCE = 1024
@@ -72,14 +73,14 @@ def token_pieces(docs: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ByteBpe(ranks, tokenizer, pattern)
         end = np.array([END_ID], np.uint32)
-        for batch in batches:
+        for part in (batch.slice(start, 256) for batch in batches for start in range(0, batch.num_rows, 256)):
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
+            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                 ids = np.concatenate([ids, end]).astype("<u4")
                 rows += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut(len(ids), capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)] if rows else [pa.array([], f.type) for f in _PIECES], schema=_PIECES)
 
-    return docs.select("doc_id", "text").mapInArrow(tokenise, _FIELDS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(tokenise), _FIELDS)
 
 
 def pack(docs: DataFrame, capacity: int = SEQUENCE, group_items: int = GROUP_ITEMS) -> DataFrame:

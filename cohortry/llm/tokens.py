@@ -20,8 +20,8 @@ LETTER, NUMBER, SPACE = 1, 2, 3
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # The endings that follow an apostrophe in a piece of their own.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
-CACHE_PIECES = 400_000
-RUN_CHARS = 1 << 20
+CACHE_PIECES = 150_000
+RUN_CHARS = 1 << 18
 
 _classes: list[np.ndarray] = []
 
