@@ -33,7 +33,7 @@ UNDETERMINED = "und"
 #: (a sample is finite, and a corpus has more kinds of clean text than it).
 LENGTHS = (8, 16, 32, 64, 128, 256, 512, 1024)
 REJECT_RATE = 0.001
-REJECT_REACH = 0.5
+REJECT_REACH = 2.0
 CALIBRATED = 5  # of so many sample texts, one is kept for calibration
 SLICES = 24  # taken at most of one text for one length
 LEAST_SLICES = 50  # with fewer of a length, the limit of the next shorter one holds
@@ -106,7 +106,10 @@ def _limits(models: Models, held: dict[str, list[str]]) -> np.ndarray:
                 step = max(length, len(text) // SLICES)
                 slices += [text[a : a + length] for a in range(0, len(text) - length + 1, step) if has_letter(text[a : a + length])]
             if len(slices) >= LEAST_SLICES:
-                loss = -_scored(models, slices)[0][:, j]
+                means = _scored(models, slices)[0]
+                loss = -means[means.argmax(axis=1) == j, j]  # a slice in another language says nothing on this one
+                if not len(loss):
+                    continue
                 high, middle = np.quantile(loss, 1 - REJECT_RATE), np.median(loss)
                 limits[j, k] = high + REJECT_REACH * (high - middle)
     return np.minimum.accumulate(limits, axis=1)  # longer texts scatter less
