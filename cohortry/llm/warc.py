@@ -1,9 +1,11 @@
 """Write WARC records (one gzip member each) and read archives back, damaged ones too.
 
 The salvage reader checks every member (gzip CRC, version line, header block, Content-Length, payload digest).
-After a failed check it searches for the next place that holds: a gzip magic whose member inflates whole, or, in
-plain archives, a version line whose record holds. Records behind the damage are recovered; the bytes between are
-logged as a quarantined gap. Archives are bounded binary rows, so no path is opened outside Spark, and a lost
+After a failed check whose record or member still states where it ends (all bytes there, only a digest or header is
+wrong), reading goes on behind that end, so nothing inside a damaged payload passes for a record. Otherwise it searches
+for the next place that holds: a gzip magic whose member inflates whole, or, in plain archives, a version line whose
+record holds; a record found so is marked, as it may have been part of a damaged payload. Records behind the damage are
+recovered; the bytes between are logged as a quarantined gap. Archives are bounded binary rows, so no path is opened outside Spark, and a lost
 task is simply run again: writing depends on nothing but its rows.
 """
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tidy
 
 ARCHIVE_BYTES = 4 << 20
 STEP = 4096
@@ -35,6 +37,15 @@ class Record:
     offset: int
     headers: dict[str, str]
     payload: bytes
+    searched: bool = False  # found by a search in bytes given up, not where an earlier record or member ended
+
+
+class Damaged(ValueError):
+    """A failed check; ``end`` is where the record or member ends all the same, if that is known."""
+
+    def __init__(self, why: str, end: int | None = None):
+        super().__init__(why)
+        self.end = end
 
 
 @dataclass
@@ -83,7 +94,7 @@ def parse_record(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, in
     payload = data[end.end() : stop]
     claimed = headers.get("warc-payload-digest", "")
     if claimed.startswith("sha1:") and headers.get("warc-type") != "revisit" and claimed[5:] != digest(payload):
-        raise ValueError("payload digest differs")
+        raise Damaged("payload digest differs", stop + 4)
     return headers, payload, stop + 4
 
 
@@ -97,15 +108,20 @@ def _member_at(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
         raise ValueError(f"gzip: {error}") from error
     if not unpacker.eof:
         raise ValueError("gzip: member ends early")
-    headers, payload, end = parse_record(plain := b"".join(parts))
+    stop = min(at, len(data)) - len(unpacker.unused_data)
+    try:
+        headers, payload, end = parse_record(plain := b"".join(parts))
+    except ValueError as error:
+        raise Damaged(str(error), stop) from error
     if end != len(plain):
-        raise ValueError("bytes after the record")
-    return headers, payload, min(at, len(data)) - len(unpacker.unused_data)
+        raise Damaged("bytes after the record", stop)
+    return headers, payload, stop
 
 
 def salvage(data: bytes) -> Salvage:
     """All sound records of an archive (gzip members, plain records, or both), and the gaps between them."""
-    out, at, gap, why = Salvage(), 0, None, ""
+    out, at, gap, why, searched = Salvage(), 0, None, "", False
+    packed_at = plain_at = -1  # the next places of either kind, looked up again only once they are passed
     while at < len(data):
         packed = data.startswith(GZIP_MAGIC, at)
         try:
@@ -113,22 +129,31 @@ def salvage(data: bytes) -> Salvage:
         except ValueError as error:
             if gap is None:
                 gap, why = at, str(error)
-            next_packed, next_plain = data.find(GZIP_MAGIC, at + 1), VERSION.search(data, at + 1)
-            places = [p for p in (next_packed, next_plain.start() if next_plain else -1) if p >= 0]
-            at = min(places, default=len(data))
+            end = getattr(error, "end", None)
+            searched = end is None
+            if end is not None:
+                at = end
+                continue
+            if packed_at <= at:
+                packed_at = data.find(GZIP_MAGIC, at + 1)
+                packed_at = len(data) if packed_at < 0 else packed_at
+            if plain_at <= at:
+                found = VERSION.search(data, at + 1)
+                plain_at = found.start() if found else len(data)
+            at = min(packed_at, plain_at)
             continue
         if gap is not None:
             out.gaps.append((gap, at, why))
             gap = None
-        out.records.append(Record(at, headers, payload))
-        at = end
+        out.records.append(Record(at, headers, payload, searched))
+        at, searched = end, False
     if gap is not None:
         out.gaps.append((gap, len(data), why))
     return out
 
 
 _ARCHIVES = pa.schema([("archive", pa.string()), ("content", pa.binary())])
-_RECORDS = pa.schema([("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+_RECORDS = pa.schema([("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("searched", pa.bool_())])
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -137,7 +162,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     Only digests that stand more than once take part in the join's small side, and the large side is dealt by
     digest and salt, so a payload that a third of the pages share is spread over tasks.
     """
-    salts = 32
+    salts = max(32, pages.count() >> 17)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
     firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
@@ -174,14 +199,14 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
         if held:
             yield full()
 
-    return checkpointed(with_revisits(pages).mapInArrow(write, "archive string, content binary"))
+    return checkpointed(with_revisits(pages).mapInArrow(tidy(write), "archive string, content binary"))
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Records and gaps of archives (archive, content), such as rows of ``spark.read.format("binaryFile")``.
 
-    A record's row has its start, page_id, record_type and so on, and no reason; a gap's row has start, end and
-    reason only. Empty or null archives have neither.
+    A record's row has its start, page_id, record_type and so on, and no reason; ``searched`` is true where it was found
+    by a search, so it may be a part of a damaged payload. A gap's row has start, end and reason only. Empty or null archives have neither.
     """
 
     def page(text: str | None) -> int | None:
@@ -195,12 +220,12 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 rows = []
                 for r in found.records:
                     h = r.headers
-                    rows.append({"archive": name, "start": r.offset, "page_id": page(h.get("warc-record-id")), "record_type": h.get("warc-type"), "uri": h.get("warc-target-uri"), "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": int(h.get("x-payload-bytes") or len(r.payload)), "refers_to": page(h.get("warc-refers-to")), "payload": r.payload if payloads else None})
+                    rows.append({"archive": name, "start": r.offset, "page_id": page(h.get("warc-record-id")), "record_type": h.get("warc-type"), "uri": h.get("warc-target-uri"), "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": int(h.get("x-payload-bytes") or len(r.payload)), "refers_to": page(h.get("warc-refers-to")), "payload": r.payload if payloads else None, "searched": r.searched})
                 rows += [{"archive": name, "start": a, "end": b, "reason": why} for a, b, why in found.gaps]
                 yield pa.RecordBatch.from_pylist(rows, _RECORDS)
 
-    kinds = "archive string, start bigint, end bigint, reason string, page_id bigint, record_type string, uri string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
-    return archives.select("archive", "content").mapInArrow(read, kinds)
+    kinds = "archive string, start bigint, end bigint, reason string, page_id bigint, record_type string, uri string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary, searched boolean"
+    return archives.select("archive", "content").mapInArrow(tidy(read), kinds)
 
 
 def page_records(pages: DataFrame) -> DataFrame:
