@@ -35,3 +35,21 @@ def test_empty_table(spark, tmp_path):
         stage(spark, docs, "/root/testdata/sf0.001").write.parquet(out)
         docs = spark.read.parquet(out)
     assert docs.count() == 0
+
+
+def test_stages_on_edge_rows(spark, edge_docs, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and clashing column names go through every stage."""
+    docs = edge_docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = str(tmp_path / str(k))
+        stage(spark, docs, "").write.parquet(out)
+        found = spark.read.parquet(out)
+        if name != "packing":
+            assert found.columns == edge_docs.columns
+        ids = {r[0] for r in found.select("doc_id").collect()}
+        assert ids and 5 in ids
+        if name == "ngram_jaccard_join":
+            assert not ids & {6, 7} and found.count() == len(ids)
+        if name == "secret_scans":
+            assert not found.where("text like '%0123456789abcdef%' or text like '%AKIAABCDEF%'").count()
+        docs = found
