@@ -4,42 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.prng import draw, draw_sql
 from ..operators import cohorts, fairness, generalize, metrics, profile, tiles
-from ..sources import sinks
 from .base import P2, P3, class_sql, predictions2, predictions3, query, rounded, table
 from .tables import _COVER, _mask, _slides
 
 c = F.col
 
 
-@query("SRC_01_delimited", "SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey END AS nation FROM customer")
-def src01(spark, sf):
-    line = F.concat_ws(";", "c_name", F.when(c("c_custkey") % 4 != 0, c("c_nationkey").cast("string")).otherwise("NA"))
-    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("nation", T.IntegerType())])
-    parsed = F.from_csv(line, schema.simpleString()[7:-1].replace(":", " "), {"sep": ";", "nullValue": "NA"})
-    return table(spark, sf, "customer").select("c_custkey", parsed.alias("r")).select("c_custkey", "r.*")
-
-
-@query("SRC_02_bom", "SELECT r_regionkey, r_name AS v FROM region")
-def src02(spark, sf):
-    return table(spark, sf, "region").select("r_regionkey", F.regexp_replace(F.concat(F.lit("﻿"), "r_name"), "^﻿", "").alias("v"))
-
-
-@query("SNK_04_predictions", f"WITH {P3} SELECT uid, y_true, y_pred, round(proba[1], 6) AS p0, round(proba[3], 6) AS p2 FROM p")
-def snk04(spark, sf):
-    p = predictions3(spark, sf)
-    return rounded(p.select("uid", "y_true", "y_pred", c("proba")[0].alias("p0"), c("proba")[2].alias("p2")))
-
-
-@query("SNK_10_work_config", "SELECT n_name AS dataset, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS selected FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 10 = 0 GROUP BY 1")
-def snk10(spark, sf):
-    joined = table(spark, sf, "customer").where("c_custkey % 10 = 0").join(table(spark, sf, "nation"), c("n_nationkey") == c("c_nationkey"))
-    return joined.groupBy(c("n_name").alias("dataset")).agg(F.array_join(F.array_sort(F.collect_list("c_custkey")), ",").alias("selected"))
-
-
 @query("FLT_08_coverage", f"WITH {_COVER} SELECT count(*) AS kept FROM f WHERE fraction >= 0.5")
 def flt08(spark, sf):
     covered = tiles.coverage(tiles.grid(_slides(spark), F.lit(64), overlap=0.25, padding=False), _mask(spark), ["slide"], 16, 12)
@@ -180,7 +153,3 @@ def fair07b(spark, sf):
     return rounded(fairness.gap_summary(groups, F.lit(0.6), exclude_low_n=True).select(c("n_subgroups").alias("n_groups"), "delta_ba"))
 
 
-@query("SNK_05_table_rows", "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def snk05(spark, sf):
-    done = table(spark, sf, "orders").select(c("o_custkey").alias("c_custkey"))
-    return sinks.pending(table(spark, sf, "customer").select("c_custkey"), done, ["c_custkey"]).agg(F.count(F.lit(1)).alias("n"))

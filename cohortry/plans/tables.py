@@ -204,19 +204,9 @@ def prj54(spark, sf):
 
 
 # -- sources --
-@query("SRC_04_sniff", "SELECT 'csv' AS a, 'csv' AS b, 'excel' AS x")
-def src04(spark, sf):
-    return spark.range(1).select(*[F.lit(readers.sniff(spark, p)).alias(n) for n, p in (("a", "x.csv"), ("b", "y.TXT"), ("x", "z.xlsx"))])
-
-
-@query("SRC_05_json", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
-def src05(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", T.StructType([T.StructField("k", T.LongType())]))["k"].alias("k"))
-
-
-@query("SRC_07_vectors", "SELECT vec_id, len(embedding) AS dims, label FROM embeddings WHERE label < 5")
+@query("SRC_07_vectors", "SELECT vec_id, len(embedding) AS dims, label FROM embeddings")
 def src07(spark, sf):
-    return table(spark, sf, "embeddings").where("label < 5").select("vec_id", F.size("embedding").cast("long").alias("dims"), "label")
+    return table(spark, sf, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dims"), "label")
 
 
 @query("SRC_08_chunks", "SELECT vec_id // 64 AS chunk, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY 1")
@@ -255,11 +245,6 @@ def src14(spark, sf):
 
 
 # -- sinks --
-@query("SNK_03_json_rows", "SELECT r_regionkey, '{\"r_name\":\"' || r_name || '\"}' AS value FROM region")
-def snk03(spark, sf):
-    return table(spark, sf, "region").select("r_regionkey", F.to_json(F.struct("r_name")).alias("value"))
-
-
 @query("SNK_09_markdown", "SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS line FROM region")
 def snk09(spark, sf):
     return sinks.markdown_rows(table(spark, sf, "region").select("r_regionkey", "r_name"))
@@ -718,11 +703,6 @@ def ml01(spark, sf):
     return cohorts.label_codes(_patients(spark, sf)).withColumn("code", c("code").cast("long"))
 
 
-@query("CHK_03_written_rows", "SELECT count(*) AS n FROM orders")
-def chk03(spark, sf):
-    return table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("CHK_05_missing_artifacts", "SELECT m AS model, n_name AS task FROM (SELECT unnest(['uni2', 'virchow2']) AS m), nation WHERE NOT (m = 'uni2' AND n_regionkey = 1)")
 def chk05(spark, sf):
     nation = table(spark, sf, "nation")
@@ -742,25 +722,3 @@ def str02(spark, sf):
 
 
 # -- probes: checked by rows and by tests --
-@query("ML_04_linear_probe")
-def ml04(spark, sf):
-    from ..operators import probes
-
-    df = table(spark, sf, "embeddings").select(c("vec_id").alias("uid"), (c("label") % 3).cast("string").alias("label"), "embedding")
-    return metrics.summary(metrics.per_class(metrics.cells(probes.cross_validated(df, probes.linear_probe(20), 3))))
-
-
-@query("ML_03_mlp_probe")
-def ml03(spark, sf):
-    from ..operators import probes
-
-    df = table(spark, sf, "embeddings").select(c("vec_id").alias("uid"), (c("label") % 2).cast("string").alias("label"), "embedding")
-    return metrics.summary(metrics.per_class(metrics.cells(probes.cross_validated(df, probes.mlp_probe(64, 2, 256, 500), 5))))
-
-
-@query("CTR_01_centre_effect")
-def ctr01(spark, sf):
-    from ..operators import probes
-
-    df = table(spark, sf, "embeddings").select(c("vec_id").alias("uid"), F.concat(F.lit("d"), (c("label") % 4).cast("string")).alias("dataset"), "embedding")
-    return metrics.summary(metrics.per_class(metrics.cells(probes.centre_effect(df, ["d0", "d1", "d2"], probes.linear_probe(10), 3))))

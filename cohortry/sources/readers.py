@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import MISSING_TOKENS, missing_to_null
+from . import work
 
 ENCODINGS = ("utf-8", "iso-8859-1")
 LAYOUTS = ("case_folders", "flat", "split_folders", "surgen")
@@ -52,36 +52,60 @@ class EvalConfig:
             raise ValueError("a task needs a dataset")
 
 
-def load_config(path: str) -> EvalConfig:
+def load_config(spark: SparkSession, path: str) -> EvalConfig:
     import yaml
 
-    with open(path, encoding="utf-8") as lines:
-        raw = yaml.safe_load(lines)
+    raw = yaml.safe_load(work.get_bytes(spark, path).decode("utf-8"))
     return EvalConfig(raw["task_name"], raw["model_name"], tuple(DatasetSpec(**d) for d in raw["datasets"]), raw.get("output_dir", "results"), raw.get("seed", 42))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, separator: str = ",", encoding: str = "utf-8", na: list[str] = MISSING_TOKENS) -> DataFrame:
-    """A delimited file with a header; missing tokens are null, a byte-order mark in the first name goes."""
-    reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", True)
-    df = (reader.schema(schema) if schema else reader).csv(path)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    return df.select(*[missing_to_null(F.col(f"`{f.name}`"), na).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, separator: str = ",", encoding: str = "utf-8", na: list[str] = MISSING_TOKENS,
+    decimal: str = ".", true_values: list[str] | None = None, false_values: list[str] | None = None, multiline: bool = True,
+) -> DataFrame:
+    """A delimited file with a header; missing tokens are null, a byte-order mark in the first name goes.
+
+    With a decimal sign or lists of truth values of one's own, the schema's doubles and booleans are read by them.
+    ``multiline`` off lets Spark split files, where no quoted field holds a line break.
+    """
+    reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", multiline).option("escape", '"')
+    own = {f.name: f.dataType for f in schema or () if (decimal != "." and isinstance(f.dataType, T.DoubleType)) or (true_values and isinstance(f.dataType, T.BooleanType))}
+    if schema:
+        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) if f.name in own else f for f in schema]))
+    df = reader.csv(path)
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+
+    def column(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if not isinstance(f.dataType, T.StringType):
+            return c
+        text = missing_to_null(c, na).alias(f.name)
+        if f.name not in own:
+            return text
+        if isinstance(own[f.name], T.DoubleType):
+            return F.replace(text, F.lit(decimal), F.lit(".")).try_cast("double").alias(f.name)
+        return F.when(F.trim(text).isin(true_values), True).when(F.trim(text).isin(false_values or []), False).alias(f.name)
+
+    return df.select(*[column(f) for f in df.schema])
 
 
 def sniff(spark: SparkSession, path: str) -> str:
     """csv or excel: by extension, else by the first bytes."""
     if path.lower().endswith((".csv", ".tsv", ".txt")):
         return "csv"
-    if path.lower().endswith((".xlsx", ".xls")):
+    if path.lower().endswith((".xlsx", ".xls", ".xlsm")):
         return "excel"
     first = spark.read.format("binaryFile").load(path).select(F.expr("substring(content, 1, 2)").alias("m")).first()
     return "excel" if first and bytes(first["m"]) == b"PK" else "csv"
 
 
 def read_with_fallback(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """UTF-8 if the bytes are valid UTF-8, else Latin-1; decided in Spark on the file's own bytes."""
-    valid = spark.read.format("binaryFile").load(path).agg(F.bool_and(F.expr("is_valid_utf8(cast(content as string))")).alias("ok")).first()["ok"]
-    return read_csv(spark, path, separator=separator, encoding=ENCODINGS[0] if valid else ENCODINGS[1])
+    """UTF-8 (with or without a byte-order mark) if every line's bytes are valid UTF-8, else Latin-1.
+
+    Lines are tested where they lie: the text source hands bytes on undecoded.
+    """
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
+    return read_csv(spark, path, separator=separator, encoding=ENCODINGS[1 if bad else 0])
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -89,6 +113,11 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def rows_at(df: DataFrame, index: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose index is wanted: random access as a semi-join, so that Spark may push the keys to the scan."""
+    return df.join(wanted.select(F.col(wanted.columns[0]).alias(index)), index, "left_semi")
+
+
 def distinct_ids(df: DataFrame, names: list[str]) -> DataFrame:
     """Distinct non-blank ids of the first of ``names`` that the header has."""
     column = next((n for n in names if n in df.columns), None)
@@ -128,7 +157,3 @@ def parse_shard_name(name: str, models: list[str], tasks: list[str]) -> tuple[st
             if stem.endswith(f"{model}_{task}"):
                 return model, task
     return None
-
-
-def first_existing(folders: list[str], name: str) -> str | None:
-    return next((str(Path(f) / name) for f in folders if (Path(f) / name).exists()), None)

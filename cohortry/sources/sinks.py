@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import work
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """One file only if asked: that is for summaries, whose rows fit one task."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+
+def write_csv(df: DataFrame, path: str, single: bool = False, separator: str = ",", encoding: str = "utf-8", mark: bool = False) -> None:
+    """One file only if asked: that is for summaries, whose rows fit one task. ``mark`` puts a byte-order mark before the header."""
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    out = (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("sep", separator)
+    out.option("encoding", encoding).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str, partitions: list[str]) -> None:
@@ -21,6 +26,22 @@ def write_table(df: DataFrame, path: str, partitions: list[str] = [], append: bo
     df.write.mode("append" if append else "overwrite").partitionBy(*partitions).parquet(path)
 
 
+def write_whole(df: DataFrame, path: str) -> None:
+    """Parquet that is there whole or not at all: what a failed write leaves is removed, and its error goes on."""
+    try:
+        df.write.parquet(path)
+    except Exception:
+        work.remove(df.sparkSession, path)
+        raise
+
+
+def write_lists(df: DataFrame, path: str, key: str, item: str) -> None:
+    """One YAML file a key, with the sorted list of its items: ``dataset: ...``, then ``selected:`` and an item a line."""
+    items = df.groupBy(key).agg(F.array_sort(F.collect_list(F.col(item))).alias("items"))
+    text = F.concat(F.lit("dataset: "), F.to_json(F.struct(F.col(key).alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(key).alias("k")))) - 6), F.lit("\nselected:\n- "), F.array_join(F.col("items").cast("array<string>"), "\n- "))
+    items.select(key, text.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
 def written_as_expected(df: DataFrame, path: str, expected: int) -> None:
     found = df.sparkSession.read.parquet(path).count()
     if found != expected:

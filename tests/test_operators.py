@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions import clinical, normalize
 from cohortry.operators import cohorts, fairness, inference, metrics, profile, tiles
-from cohortry.sources import readers, sinks
+from cohortry.sources import readers, sheets, sinks, work
 from cohortry.streaming import predictions as streams
 
 
@@ -183,3 +183,29 @@ def test_full_inference_queries(spark):
     assert set(gaps) == {"delta_ba", "delta_f1", "delta_auc", "avg_gap", "tpr_gap", "fpr_gap", "auc_es"} and all(r["n_valid"] > 900 for r in gaps.values())
     (p,) = run("MET_13_permutation_test_full")
     assert abs(p["p_value"] * 1001 - round(p["p_value"] * 1001)) < 0.001
+
+
+def test_first_failures_are_tried_again():
+    tries = []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("busy")
+        return "done"
+
+    assert work.retried(flaky, 3, 0.0) == "done" and len(tries) == 3
+    with pytest.raises(OSError):
+        work.retried(lambda: open("/nonexistent/file"), 2, 0.0)
+
+
+def test_workbooks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a<b", 1.5, True), (2, None, None, False), (3, " kept ", -0.25, None)], "id long, name string, v double, ok boolean")
+    sheets.write_sheet(df, str(tmp_path / "b.xlsx"), 'A & "B"')
+    for sheet in (0, 'A & "B"'):
+        got = sheets.read_sheet(spark, str(tmp_path / "b.xlsx"), sheet)
+        assert [tuple(r) for r in got.orderBy("id").collect()] == [("1", "a<b", "1.5", "1"), ("2", None, None, "0"), ("3", " kept ", "-0.25", None)]
+    with pytest.raises(Exception, match="no sheet"):
+        sheets.read_sheet(spark, str(tmp_path / "b.xlsx"), "other").count()
+    assert [sheets.column_name(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    assert all(sheets.column_index(sheets.column_name(i) + "7") == i for i in range(1000))
