@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import is_missing
 from ..functions.prng import lot
+from .ranks import numbered, quantiles
 
 
 class KeyError_(ValueError):
@@ -76,7 +77,7 @@ def missing_report(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def outliers_iqr(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, bounds and the number of values outside; a null value counts as outside."""
-    q = df.agg(F.percentile(column, [0.25, 0.75]).alias("q"))
+    q = quantiles(df, [column], [0.25, 0.75])
     bounds = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).withColumn("low", F.col("q1") - (F.col("q3") - F.col("q1")) * reach).withColumn("high", F.col("q3") + (F.col("q3") - F.col("q1")) * reach)
     return df.join(F.broadcast(bounds)).groupBy("q1", "q3", "low", "high").agg(F.count_if(~F.coalesce(F.col(column).between(F.col("low"), F.col("high")), F.lit(False))).alias("n_outliers"))
 
@@ -97,8 +98,7 @@ def evaluation_reason(n: Column, reason: Column) -> Column:
 
 def folds(df: DataFrame, k: int, seed: int = 42, uid: str = "uid", label: str = "label") -> DataFrame:
     """Fold 0 to k - 1 of each row: round-robin within each label in an order drawn by lot."""
-    order = Window.partitionBy(label).orderBy(lot(seed, F.col(uid)), uid)
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    return numbered(df, [lot(seed, F.col(uid)), uid], [label], "fold").withColumn("fold", (F.col("fold") % k).cast("int"))
 
 
 def fixed_split(df: DataFrame, train: float = 0.70, val: float = 0.15, test: float = 0.15, seed: int = 42, uid: str = "uid", label: str = "label") -> DataFrame:
@@ -122,7 +122,7 @@ def oversample(df: DataFrame, label: str = "label", uid: str = "uid") -> DataFra
     """Each class repeated to the size of the largest: whole copies, then the first rows by lot."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     top = sizes.agg(F.max("_n").alias("_top"))
-    ranked = df.withColumn("_nth", F.row_number().over(Window.partitionBy(label).orderBy(lot(42, F.col(uid)), uid)) - 1)
+    ranked = numbered(df, [lot(42, F.col(uid)), uid], [label], "_nth")
     copies = ranked.join(sizes, label).join(F.broadcast(top)).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_top") / F.col("_n")) - 1)))
     return copies.where(F.col("copy") * F.col("_n") + F.col("_nth") < F.col("_top")).drop("_n", "_top", "_nth")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prng import draw, lot
 from . import metrics
+from .ranks import numbered
 
 
 def cumulative(cm: DataFrame, keys: list[str] = []) -> DataFrame:
@@ -70,10 +71,10 @@ def sensitivity_intervals(predictions: DataFrame, replicates: int, level: float
 
 def resampled_rows(predictions: DataFrame, replicates: int) -> DataFrame:
     """(b, columns of ``predictions``): B x n draws of whole rows, numbered in uid order, for metrics of scores."""
-    numbered = predictions.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("uid")) - 1)
+    placed = numbered(predictions, ["uid"], name="i")
     n = predictions.count()
     draws = predictions.sparkSession.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    return draws.withColumn("i", draw(F.col("b"), F.col("k"), F.lit(n)).cast("int")).join(numbered, "i").drop("i", "k")
+    return draws.withColumn("i", draw(F.col("b"), F.col("k"), F.lit(n))).join(placed, "i").drop("i", "k")
 
 
 def resampled_auc(scored: DataFrame, replicates: int) -> DataFrame:
@@ -81,18 +82,18 @@ def resampled_auc(scored: DataFrame, replicates: int) -> DataFrame:
 
     Rows are numbered in uid order; each replicate's draws meet them on the number.
     """
-    numbered = scored.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("uid")) - 1)
+    placed = numbered(scored, ["uid"], name="i")
     n = scored.count()
     draws = scored.sparkSession.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    counts = draws.withColumn("i", draw(F.col("b"), F.col("k"), F.lit(n)).cast("int"))
-    return metrics.auc(counts.join(numbered.select("i", "positive", "score"), "i").select("b", "positive", "score"), ["b"])
+    counts = draws.withColumn("i", draw(F.col("b"), F.col("k"), F.lit(n)))
+    return metrics.auc(counts.join(placed.select("i", "positive", "score"), "i").select("b", "positive", "score"), ["b"])
 
 
 def permuted_auc(scored: DataFrame, permutations: int) -> DataFrame:
     """AUC with labels permuted: labels in uid order meet scores in the order of a lot drawn per permutation."""
-    labels = scored.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("uid"))).select("i", "positive")
+    labels = numbered(scored, ["uid"], name="i").select("i", "positive")
     each = scored.sparkSession.range(permutations).select(F.col("id").alias("b"))
-    drawn = scored.join(F.broadcast(each)).withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy(lot(F.col("b"), F.col("uid")), "uid")))
+    drawn = numbered(scored.join(F.broadcast(each)), [lot(F.col("b"), F.col("uid")), "uid"], ["b"], "i")
     return metrics.auc(drawn.select("b", "i", "score").join(labels, "i").select("b", "positive", "score"), ["b"])
 
 

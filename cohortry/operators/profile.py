@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import age_group
+from .ranks import quantiles
 
 NUMERIC_RATIO, DATETIME_RATIO, MAX_CATEGORIES = 0.8, 0.8, 30
 
@@ -34,9 +35,9 @@ def dataset_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, min, quartiles (linear), max and interquartile range of each column."""
     def stats(c: str) -> dict[str, Column]:
-        return {"n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c).cast("double"), "q": F.percentile(c, [0.25, 0.5, 0.75]), "max": F.max(c).cast("double")}
+        return {"n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c).cast("double"), "max": F.max(c).cast("double")}
 
-    out = _stacked(df, {c: stats(c) for c in columns})
+    out = _stacked(df, {c: stats(c) for c in columns}).join(F.broadcast(quantiles(df, columns, [0.25, 0.5, 0.75])), "column")
     return out.select("column", "n", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
@@ -98,8 +99,8 @@ def group_table(df: DataFrame, column: str, group: str, groups: list[str]) -> Da
 
 def age_description(df: DataFrame, column: str) -> DataFrame:
     """n, mean, median, quartile text and missing values of ages."""
-    q = F.percentile(column, [0.25, 0.5, 0.75])
-    out = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), q.alias("q"), F.count_if(F.col(column).isNull()).alias("n_missing"), F.count(F.lit(1)).alias("all"))
+    out = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.count_if(F.col(column).isNull()).alias("n_missing"), F.count(F.lit(1)).alias("all"))
+    out = out.join(F.broadcast(quantiles(df, [column], [0.25, 0.5, 0.75])))
     return out.select("n", "mean", F.col("q")[1].alias("median"), F.format_string("%.1f-%.1f", F.col("q")[0], F.col("q")[2]).alias("iqr"), "n_missing", F.try_divide(F.col("n_missing") * 100.0, F.col("all")).alias("pct_missing"))
 
 

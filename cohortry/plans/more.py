@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.prng import draw, draw_sql
-from ..operators import cohorts, fairness, generalize, metrics, profile, tiles
+from ..operators import cohorts, fairness, generalize, metrics, profile, ranks, tiles
 from .base import P2, P3, class_sql, predictions2, predictions3, query, rounded, table
 from .tables import _COVER, _mask, _slides
 
@@ -56,7 +56,8 @@ def win04(spark, sf):
 
 @query("WIN_05_round_robin", "SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) % 5 AS fold FROM orders")
 def win05(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", ((F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey")) - 1) % 5).cast("long").alias("fold"))
+    placed = ranks.numbered(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], ["o_orderstatus"])
+    return placed.select("o_orderkey", (c("place") % 5).alias("fold"))
 
 
 @query("SRT_02_group_order", "SELECT g, row_number() OVER (ORDER BY g) AS place FROM (SELECT unnest(['>=70', '<50', '50-70']) AS g)")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..functions import clinical as C
 from ..functions import normalize as N
 from ..functions.prng import lot_sql
-from ..operators import cohorts, metrics, profile, tiles
+from ..operators import cohorts, metrics, profile, ranks, tiles
 from ..sources import readers, sinks
 from ..streaming import predictions as streams
 from .base import P3, predictions3, query, rounded, table
@@ -631,10 +631,9 @@ def srt04(spark, sf):
 
 @query("SRT_06_numeric_ids", "SELECT c_custkey, row_number() OVER (ORDER BY coalesce(try_cast(CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE c_custkey::VARCHAR END AS INT), 0), c_custkey) AS place FROM customer")
 def srt06(spark, sf):
-    from pyspark.sql import Window
-
     text = F.when(c("c_custkey") % 3 == 0, "x").otherwise(c("c_custkey").cast("string"))
-    return table(spark, sf, "customer").select("c_custkey", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.coalesce(text.try_cast("int"), F.lit(0)), "c_custkey")).cast("long").alias("place"))
+    placed = ranks.numbered(table(spark, sf, "customer").select("c_custkey"), [F.coalesce(text.try_cast("int"), F.lit(0)), "c_custkey"])
+    return placed.withColumn("place", c("place") + 1)
 
 
 @query("SRT_07_sample", f"SELECT o_orderkey FROM orders ORDER BY {lot_sql('42', 'o_orderkey')}, o_orderkey LIMIT 80")
@@ -691,11 +690,9 @@ def spl07(spark, sf):
 
 @query("SPL_09_permutation", f"WITH {_PATIENTS} SELECT uid, row_number() OVER (ORDER BY {lot_sql('7', 'uid')}, uid) AS place FROM pt")
 def spl09(spark, sf):
-    from pyspark.sql import Window
-
     from ..functions.prng import lot
 
-    return _patients(spark, sf).select("uid", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(lot(7, c("uid")), "uid")).cast("long").alias("place"))
+    return ranks.numbered(_patients(spark, sf).select("uid"), [lot(7, c("uid")), "uid"]).withColumn("place", c("place") + 1)
 
 
 @query("ML_01_label_codes", "SELECT c_mktsegment AS label, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.functions import clinical, normalize
-from cohortry.operators import cohorts, fairness, inference, metrics, profile, tiles
+from cohortry.operators import cohorts, fairness, inference, metrics, profile, ranks, tiles
 from cohortry.sources import readers, sheets, sinks, work
 from cohortry.streaming import predictions as streams
 
@@ -209,3 +209,26 @@ def test_workbooks(spark, tmp_path):
         sheets.read_sheet(spark, str(tmp_path / "b.xlsx"), "other").count()
     assert [sheets.column_name(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
     assert all(sheets.column_index(sheets.column_name(i) + "7") == i for i in range(1000))
+
+
+def test_row_numbers_over_ranges(spark):
+    rows = [(None if i % 10 == 9 else "hot" if i % 3 else f"k{i % 7}", (i * 7919) % 1009, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v long, i long").repartition(7)
+    got = {r["i"]: r["place"] for r in ranks.numbered(df, ["v", "i"], ["k"]).collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        for place, row in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))):
+            want[row[2]] = place
+    assert got == want
+    assert sorted(r["place"] for r in ranks.numbered(df, ["v", "i"]).collect()) == list(range(3000))
+    assert ranks.numbered(df.limit(0), ["v"]).count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    df = spark.createDataFrame([(float(i * i % 97), None, 1.0 if i < 400 else float(i)) for i in range(501)], "a double, none double, hot double")
+    got = {r["column"]: r["q"] for r in ranks.quantiles(df, ["a", "none", "hot"], [0.0, 0.13, 0.5, 0.999, 1.0]).collect()}
+    assert got["none"] is None
+    for name in ("a", "hot"):
+        want = df.agg(F.percentile(name, [0.0, 0.13, 0.5, 0.999, 1.0])).first()[0]
+        assert got[name] == pytest.approx(want, abs=1e-9)
+    assert ranks.quantiles(df.limit(0), ["a"], [0.5]).first()["q"] is None
