@@ -7,7 +7,7 @@ large for B x n draws: every row weighs in with its own count per replicate, in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prng import draw, lot
@@ -15,6 +15,17 @@ from . import metrics
 from .ranks import numbered
 
 
+CHUNK = 1 << 16
+
+
+def indices(df: DataFrame, total: Column, name: str) -> DataFrame:
+    """Each row once for each of 0 to ``total`` - 1, made in chunks that are dealt over the tasks: no array holds them all."""
+    last = total.cast("long") - 1
+    chunked = df.where(total > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / CHUNK)))).repartition("b", "_from")
+    start = F.col("_from") * CHUNK
+    return chunked.withColumn(name, F.explode(F.sequence(start, F.least(last, start + CHUNK - 1)))).drop("_from")
+
+
 def cumulative(cm: DataFrame, keys: list[str] = []) -> DataFrame:
     """Cells with the index range [from_i, to_i) they own among their key's rows, and the key's total."""
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -28,7 +39,7 @@ def resampled_cells(cm: DataFrame, replicates: int, keys: list[str] = [], offset
     totals = ranges.select(*keys, "total").distinct()
     spark = cm.sparkSession
     draws = totals.join(F.broadcast(spark.range(replicates).select(F.col("id").alias("b"))))
-    draws = draws.select(*keys, "b", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("i"))
+    draws = indices(draws, F.col("total"), "i")
     draws = draws.withColumn("at", draw(F.col("b") + offset, F.col("i"), F.col("total"))).alias("d")
     # Draws of one cell count, before they meet the cells: at most K x K ranges a key, so the range test is cheap.
     cells = F.broadcast(ranges.select(*keys, "y_true", "y_pred", "from_i", "to_i")).alias("c")
@@ -73,7 +84,7 @@ def resampled_rows(predictions: DataFrame, replicates: int) -> DataFrame:
     """(b, columns of ``predictions``): B x n draws of whole rows, numbered in uid order, for metrics of scores."""
     placed = numbered(predictions, ["uid"], name="i")
     n = predictions.count()
-    draws = predictions.sparkSession.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    draws = indices(predictions.sparkSession.range(replicates).select(F.col("id").alias("b")), F.lit(n), "k")
     return draws.withColumn("i", draw(F.col("b"), F.col("k"), F.lit(n))).join(placed, "i").drop("i", "k")
 
 
@@ -84,7 +95,7 @@ def resampled_auc(scored: DataFrame, replicates: int) -> DataFrame:
     """
     placed = numbered(scored, ["uid"], name="i")
     n = scored.count()
-    draws = scored.sparkSession.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    draws = indices(scored.sparkSession.range(replicates).select(F.col("id").alias("b")), F.lit(n), "k")
     counts = draws.withColumn("i", draw(F.col("b"), F.col("k"), F.lit(n)))
     return metrics.auc(counts.join(placed.select("i", "positive", "score"), "i").select("b", "positive", "score"), ["b"])
 
