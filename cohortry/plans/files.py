@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import run
 from ..functions import user
 from ..operators import metrics
 from ..sources import readers, sheets, sinks, work
-from .base import P3, predictions3, query, rounded, table
+from .base import P3, class_sql, predictions3, query, rounded, table
 
 c = F.col
 
@@ -180,6 +181,20 @@ def chk03(spark, sf):
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("CLI_01_runner", f"WITH {P3}, {class_sql('cells')} SELECT t AS task, x AS model, n, round(accuracy, 6) AS accuracy FROM m, (VALUES ('site', 'uni2'), ('site', 'virchow2'), ('side', 'uni2')) c(t, x)")
+def cli01(spark, sf):
+    given, out = work.new_path(spark, "given"), work.new_path(spark, "results")
+    for task, model in (("site", "uni2"), ("site", "virchow2"), ("side", "uni2")):
+        sinks.write_table(predictions3(spark, sf).select("uid", "y_true", "y_pred"), f"{given}/{task}/{model}")
+    known = run.found(spark, given)
+    failures = run.run(spark, given, out, run.chosen(known, True, None, None, []), say=lambda line: None)
+    if failures:
+        raise ValueError(str(failures))
+    done = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(out)
+    place = F.split(F.col("_metadata.file_path"), "/")
+    return rounded(done.select(F.element_at(place, -3).alias("task"), F.element_at(place, -2).alias("model"), "n", "accuracy"))
+
+
 def _length_of(name: str) -> str:
     if name.endswith("A"):
         raise OSError(f"cannot read {name}")

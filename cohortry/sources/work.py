@@ -41,6 +41,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, those of a format's own (_ or .) left out."""
+    files, target = _path(spark, path)
+    found = [(s.getPath().getName(), s.isDirectory()) for s in files.listStatus(target)]
+    return sorted(n for n, is_folder in found if is_folder and not n.startswith(("_", ".")))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, target = _path(spark, path)
     files.delete(target, True)

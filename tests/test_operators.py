@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cohortry import run
 from cohortry.functions import clinical, normalize
 from cohortry.operators import cohorts, fairness, inference, metrics, profile, ranks, tiles
 from cohortry.sources import readers, sheets, sinks, work
@@ -232,3 +233,25 @@ def test_quantiles_are_exact(spark):
         want = df.agg(F.percentile(name, [0.0, 0.13, 0.5, 0.999, 1.0])).first()[0]
         assert got[name] == pytest.approx(want, abs=1e-9)
     assert ranks.quantiles(df.limit(0), ["a"], [0.5]).first()["q"] is None
+
+
+def test_runner(spark, tmp_path, capsys):
+    given, out = str(tmp_path / "given"), str(tmp_path / "out")
+    rows = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 1, 0)], "uid long, y_true int, y_pred int")
+    for combo in ("site/uni2", "site/virchow2", "side/uni2"):
+        sinks.write_table(rows, f"{given}/{combo}")
+    sinks.write_table(rows.drop("y_pred"), f"{given}/side/broken")
+    place = ["--predictions", given, "--out", out]
+    assert run.main([*place, "--list"], spark) == 0
+    assert capsys.readouterr().out.split() == ["side:broken", "side:uni2", "site:uni2", "site:virchow2"]
+    assert run.main([*place, "--task", "site", "--dry-run"], spark) == 0 and not (tmp_path / "out").exists()
+    assert run.main([*place, "--combo", "site:uni2"], spark) == 0
+    assert spark.read.parquet(f"{out}/site/uni2").first()["n"] == 3
+    capsys.readouterr()
+    assert run.main([*place, "--all"], spark) == 1  # the broken one fails, the others are there
+    lines = capsys.readouterr().out
+    assert "skip site uni2" in lines and "done side uni2" in lines and "failed side broken" in lines
+    assert not (tmp_path / "out/side/broken").exists()
+    for wrong in (["--combo", "site"], ["--combo", "a:b"], []):
+        with pytest.raises(SystemExit):
+            run.main([*place, *wrong], spark)
