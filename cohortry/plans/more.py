@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.prng import draw, draw_sql
+from ..functions.prng import draw, draw_sql, lot_sql
 from ..operators import cohorts, fairness, generalize, metrics, profile, ranks, tiles
 from .base import P2, P3, class_sql, predictions2, predictions3, query, rounded, table
 from .tables import _COVER, _mask, _slides
@@ -83,14 +83,14 @@ def spl02(spark, sf):
     return n.select("c_nationkey", cohorts.evaluation_reason(c("n"), F.lit(None).cast("string")).alias("reason"))
 
 
-@query("SPL_06_out_of_fold", "SELECT c_custkey AS uid, 1::BIGINT AS n FROM customer")
+@query("SPL_06_out_of_fold", f"SELECT c_custkey AS uid, 1::BIGINT AS n, ((row_number() OVER (PARTITION BY c_mktsegment ORDER BY {lot_sql('42', 'c_custkey')}, c_custkey) - 1) % 5)::INT AS fold FROM customer")
 def spl06(spark, sf):
     rows = cohorts.folds(table(spark, sf, "customer").select(c("c_custkey").alias("uid"), c("c_mktsegment").alias("label")), 5)
     parts = [rows.where(c("fold") == k) for k in range(5)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+    return out.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.max("fold").alias("fold"))
 
 
 @query("SPL_08_resample_indices", f"SELECT b, i, {draw_sql('b', 'i', '1058')} AS idx FROM range(20) t(b), range(1058) q(i)")
