@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prng import draw, lot
 from . import metrics
+from . import replicates as vectors
 from .ranks import numbered
 
 
@@ -21,7 +22,9 @@ CHUNK = 1 << 16
 def indices(df: DataFrame, total: Column, name: str) -> DataFrame:
     """Each row once for each of 0 to ``total`` - 1, made in chunks that are dealt over the tasks: no array holds them all."""
     last = total.cast("long") - 1
-    chunked = df.where(total > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / CHUNK)))).repartition("b", "_from")
+    chunked = df.where(total > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / CHUNK))))
+    # A number of its own: chunks are few bytes each before they are made, so they would else be put together in one task.
+    chunked = chunked.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "b", "_from")
     start = F.col("_from") * CHUNK
     return chunked.withColumn(name, F.explode(F.sequence(start, F.least(last, start + CHUNK - 1)))).drop("_from")
 
@@ -89,15 +92,23 @@ def resampled_rows(predictions: DataFrame, replicates: int) -> DataFrame:
 
 
 def resampled_auc(scored: DataFrame, replicates: int) -> DataFrame:
-    """AUC of each bootstrap replicate of rows (uid, positive, score): needs B x n draws, for tables of that size.
+    """AUC of each bootstrap replicate of rows (uid, positive, score), numbered in uid order.
 
-    Rows are numbered in uid order; each replicate's draws meet them on the number.
+    Draws are taken in the workers, which hold the table; one of more than ``HELD`` rows takes the join of all draws.
     """
-    placed = numbered(scored, ["uid"], name="i")
     n = scored.count()
-    draws = indices(scored.sparkSession.range(replicates).select(F.col("id").alias("b")), F.lit(n), "k")
+    placed = numbered(scored, ["uid"], name="i")
+    return vectors.resampled_auc(placed, n, replicates) if 0 < n <= vectors.HELD else joined_auc(placed, n, replicates)
+
+
+def joined_auc(placed: DataFrame, n: int, replicates: int) -> DataFrame:
+    """``resampled_auc`` of any number of rows (i, positive, score): B x n draws meet the rows on the number.
+
+    The draws come out of a few chunks, which look small enough to broadcast: a merge join keeps them off the driver.
+    """
+    draws = indices(placed.sparkSession.range(replicates).select(F.col("id").alias("b")), F.lit(n), "k")
     counts = draws.withColumn("i", draw(F.col("b"), F.col("k"), F.lit(n)))
-    return metrics.auc(counts.join(placed.select("i", "positive", "score"), "i").select("b", "positive", "score"), ["b"])
+    return metrics.auc(counts.hint("merge").join(placed.select("i", "positive", "score"), "i").select("b", "positive", "score"), ["b"])
 
 
 def permuted_auc(scored: DataFrame, permutations: int) -> DataFrame:

@@ -186,6 +186,22 @@ def test_full_inference_queries(spark):
     assert abs(p["p_value"] * 1001 - round(p["p_value"] * 1001)) < 0.001
 
 
+def _scored(spark, n=700):
+    """Ties, and rows without class or score."""
+    return spark.range(n).selectExpr("id * 3 as uid", "if(id % 50 = 7, null, id % 3 = 0) positive", "if(id % 41 = 3, null, (id * 37 % 11) / 11.0D) score")
+
+
+def test_resampled_auc_draws_in_the_workers(spark):
+    df = _scored(spark)
+    out = inference.resampled_auc(df, 45)
+    # No plan makes a row of every draw, which was put into a broadcast by its size before it was made.
+    assert "Generate explode(sequence((" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "104729" not in plan
+    want = inference.joined_auc(ranks.numbered(df, ["uid"], name="i"), 700, 45)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert "BroadcastHashJoin [i#" not in want._jdf.queryExecution().executedPlan().toString()
+    assert inference.resampled_auc(df.limit(0), 3).count() == 0
+
+
 def test_first_failures_are_tried_again():
     tries = []
 
