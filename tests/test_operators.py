@@ -202,6 +202,15 @@ def test_resampled_auc_draws_in_the_workers(spark):
     assert inference.resampled_auc(df.limit(0), 3).count() == 0
 
 
+def test_full_auc_query_broadcasts_no_draws(spark):
+    from cohortry import plans
+
+    out = plans.QUERIES["BST_01_auc_full"](spark, "/root/testdata/sf0.001")
+    assert "104729" not in out._jdf.queryExecution().optimizedPlan().toString()  # the step of the counters of rows that are draws
+    (row,) = out.collect()
+    assert row["n_valid"] == 1000 and 0 <= row["ci_low"] <= row["ci_high"] <= 1
+
+
 def test_first_failures_are_tried_again():
     tries = []
 
