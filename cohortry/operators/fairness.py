@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import inference, metrics
+from .ranks import numbered
 
 MIN_GROUP = 10
 
@@ -83,17 +84,27 @@ def gap_intervals(predictions: DataFrame, group: str, replicates: int) -> DataFr
 
 def all_gap_intervals(predictions: DataFrame, group: str, k: int, replicates: int) -> DataFrame:
     """Bootstrap intervals of all seven gaps between groups, those of AUC included: whole rows are resampled together."""
-    rows = inference.resampled_rows(predictions, replicates)
-    several = rows.groupBy("b").agg(F.count_distinct("y_true").alias("classes")).where("classes >= 2").select("b")
-    overall = several.join(metrics.macro_auc(metrics.one_vs_rest(rows, ["b"]), k, ["b"]), "b", "left").withColumnRenamed("auc", "overall")
-    known = rows.where(F.col(group).isNotNull()).withColumn("group", F.col(group).cast("string"))
+    rows = predictions.withColumn("group", F.col(group).cast("string")).select("uid", "group", "y_true", "y_pred", "proba")
+    n = rows.count()
+    drawn = inference.vectors.resampled_groups if 0 < n <= inference.vectors.HELD else joined_groups
+    cells, aucs = drawn(numbered(rows, ["uid"], name="i"), n, k, replicates)
+    several = cells.groupBy("b").agg(F.count_distinct("y_true").alias("classes")).where("classes >= 2").select("b")
+    overall = several.join(metrics.macro_auc(aucs.where("of < 0"), k, ["b"]), "b", "left").withColumnRenamed("auc", "overall")
     keys = ["b", "group"]
-    out = metrics.summary(metrics.per_class(metrics.cells(known, keys), keys), keys).where("n_supported >= 2")
-    out = out.join(metrics.macro_auc(metrics.one_vs_rest(known, keys), k, keys), keys, "left").join(overall, "b")
+    out = metrics.summary(metrics.per_class(cells.where(F.col("group").isNotNull()), keys), keys).where("n_supported >= 2")
+    out = out.join(metrics.macro_auc(aucs.where("of >= 0"), k, keys), keys, "left").join(overall, "b")
     gaps = gap_summary(out, F.col("overall"), keys=["b", "overall"])
     return inference.interval(gaps, ["delta_ba", "delta_f1", "delta_auc", "avg_gap", "tpr_gap", "fpr_gap", "auc_es"])
 
 
+def joined_groups(placed: DataFrame, n: int, k: int, replicates: int) -> tuple[DataFrame, DataFrame]:
+    """``replicates.resampled_groups`` of any number of rows: B x n draws meet the rows on the number."""
+    rows = inference.joined_rows(placed, n, replicates)
+    overall, each = metrics.one_vs_rest(rows, ["b"]), metrics.one_vs_rest(rows.where("group IS NOT NULL"), ["b", "group"])
+    aucs = overall.select("b", F.lit(-1).alias("of"), F.lit(None).cast("string").alias("group"), "label", "auc")
+    return metrics.cells(rows, ["b", "group"]), aucs.unionByName(each.select("b", F.lit(0).alias("of"), "group", "label", "auc"))
+
+
 def error_analysis(predictions: DataFrame, group: str, k: int, min_group: int = MIN_GROUP) -> DataFrame:
     """Errors of each group of enough rows and at least two true classes."""
     known = predictions.where(F.col(group).isNotNull()).withColumn("group", F.col(group).cast("string"))

@@ -83,12 +83,13 @@ def sensitivity_intervals(predictions: DataFrame, replicates: int, level: float
     return interval(each.join(several, "b", "left_semi").withColumn("sensitivity", F.col("recall")), ["sensitivity"], ["label"], level)
 
 
-def resampled_rows(predictions: DataFrame, replicates: int) -> DataFrame:
-    """(b, columns of ``predictions``): B x n draws of whole rows, numbered in uid order, for metrics of scores."""
-    placed = numbered(predictions, ["uid"], name="i")
-    n = predictions.count()
-    draws = indices(predictions.sparkSession.range(replicates).select(F.col("id").alias("b")), F.lit(n), "k")
-    return draws.withColumn("i", draw(F.col("b"), F.col("k"), F.lit(n))).join(placed, "i").drop("i", "k")
+def joined_rows(placed: DataFrame, n: int, replicates: int) -> DataFrame:
+    """(b, columns of ``placed``): B x n draws of whole rows, numbered by ``i``, for metrics of scores.
+
+    The draws come out of a few chunks, which look small enough to broadcast: a merge join keeps them off the driver.
+    """
+    draws = indices(placed.sparkSession.range(replicates).select(F.col("id").alias("b")), F.lit(n), "k")
+    return draws.withColumn("i", draw(F.col("b"), F.col("k"), F.lit(n))).hint("merge").join(placed, "i").drop("i", "k")
 
 
 def resampled_auc(scored: DataFrame, replicates: int) -> DataFrame:
@@ -102,13 +103,8 @@ def resampled_auc(scored: DataFrame, replicates: int) -> DataFrame:
 
 
 def joined_auc(placed: DataFrame, n: int, replicates: int) -> DataFrame:
-    """``resampled_auc`` of any number of rows (i, positive, score): B x n draws meet the rows on the number.
-
-    The draws come out of a few chunks, which look small enough to broadcast: a merge join keeps them off the driver.
-    """
-    draws = indices(placed.sparkSession.range(replicates).select(F.col("id").alias("b")), F.lit(n), "k")
-    counts = draws.withColumn("i", draw(F.col("b"), F.col("k"), F.lit(n)))
-    return metrics.auc(counts.hint("merge").join(placed.select("i", "positive", "score"), "i").select("b", "positive", "score"), ["b"])
+    """``resampled_auc`` of any number of rows (i, positive, score)."""
+    return metrics.auc(joined_rows(placed.select("i", "positive", "score"), n, replicates), ["b"])
 
 
 def permuted_auc(scored: DataFrame, permutations: int) -> DataFrame:

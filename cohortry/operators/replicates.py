@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prng import B_MIX, B_STEP, I_MIX, I_STEP, LAST, OFFSET, PRIME
+from ..sources import work
 
 #: Rows a worker holds (some 60 bytes each at most); larger tables take the joins of ``inference``.
 HELD = 1 << 23
@@ -192,3 +193,47 @@ def resampled_auc(placed: DataFrame, n: int, replicates: int) -> DataFrame:
 
     out = by_groups(placed, {"positive": F.col("positive"), "score": ranked_score(F.col("score"))}, replicates, run, _AUC)
     return out.select("b", "n_pos", "n_neg", _auc(out))
+
+
+_GAPS = "b long, kind string, of int, label int, n_pos long, n_neg long, w long"
+
+
+def resampled_groups(placed: DataFrame, n: int, k: int, replicates: int) -> tuple[DataFrame, DataFrame]:
+    """What ``replicates`` draws of the ``n`` rows (i, group, y_true, y_pred, proba) come to, in two tables.
+
+    (b, group, y_true, y_pred, n), and (b, group, label, auc) of each of ``k`` labels against the rest, where a row without
+    a label's score has no part; the AUC over all rows has ``of`` -1. This runs a job: both come from one pass over draws.
+    """
+    work.shared_folder(placed.sparkSession)
+    cell = ["group", "y_true", "y_pred"]
+    kinds = placed.select(cell).distinct().agg(F.array_sort(F.collect_list(F.struct(*cell))).alias("cells"))
+    kinds = kinds.select("cells", F.array_sort(F.array_distinct(F.filter(F.col("cells")["group"], lambda g: g.isNotNull()))).alias("groups"))
+    # One row a (group, true, predicted): groups are few by nature.
+    named = kinds.select("groups", F.posexplode("cells").alias("cell", "c")).select("cell", "c.*", (F.array_position("groups", F.col("c.group")) - 1).cast("int").alias("of"))
+    named = named.withColumn("of", F.coalesce("of", F.lit(-1))).checkpoint()
+    c = named.select(*[F.col(x).alias(f"_{x}") for x in named.columns])
+    known = placed.join(F.broadcast(c), [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in cell])
+    columns = {"cell": F.col("_cell"), "of": F.col("_of"), "y_true": F.col("y_true").cast("int")}
+    columns |= {f"score{j}": F.when(F.size("proba") > j, ranked_score(F.get("proba", F.lit(j)))) for j in range(k)}
+
+    def run(a: dict[str, pa.Array], b: range) -> pa.Table:
+        cell, of, true = _numbers(a["cell"], -1, np.int64), _numbers(a["of"], -1, np.int64), _numbers(a["y_true"], -1, np.int64)
+        rankings = []
+        for j in range(k):
+            positive = np.where(true < 0, -1, true == j).astype(np.int8)
+            score = _numbers(a[f"score{j}"], np.nan, float)
+            # Keys: 0 for all rows, and the groups from 1 on.
+            rankings += [(j, -1, Ranking(np.zeros(n, np.int8), positive, score)), (j, 0, Ranking(of, positive, score))]
+        found = []
+        for r, w in weights(b, n):
+            counts = np.bincount(cell, w).astype(np.int64)
+            found += [(r, "cell", x, -1, counts[x], 0, 0) for x in np.flatnonzero(counts)]
+            for j, shift, ranking in rankings:
+                found += [(r, "auc", key + shift, j, p, q, v) for key, p, q, v in zip(ranking.keys, *ranking.weighted(w))]
+        return _rows(found, _GAPS)
+
+    out = by_groups(known, columns, replicates, run, _GAPS).checkpoint()
+    cells = out.where("kind = 'cell'").select("b", F.col("of").alias("cell"), F.col("n_pos").alias("n")).join(F.broadcast(named), "cell").select("b", *cell, "n")
+    groups = named.where("of >= 0").select("of", "group").distinct()
+    aucs = out.where("kind = 'auc'").join(F.broadcast(groups), "of", "left")
+    return cells, aucs.select("b", "of", "group", "label", _auc(aucs))

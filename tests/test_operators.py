@@ -211,6 +211,18 @@ def test_full_auc_query_broadcasts_no_draws(spark):
     assert row["n_valid"] == 1000 and 0 <= row["ci_low"] <= row["ci_high"] <= 1
 
 
+def test_gap_intervals_draw_in_the_workers(spark, monkeypatch):
+    rows = "id * 3 as uid", "if(id % 31 = 5, null, 'g' || id % 4) g", "cast(id * 7 % 5 % 3 as int) y_true", "cast(id % 3 as int) y_pred"
+    df = spark.range(400).selectExpr(*rows, "array(id % 7 / 9.0D, if(id % 29 = 1, null, id % 5 / 9.0D), id % 11 / 12.0D) proba")
+    monkeypatch.setattr(fairness, "joined_groups", None)
+    got = sorted(map(tuple, fairness.all_gap_intervals(df, "g", 3, 30).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(inference.vectors, "HELD", 0)
+    want = sorted(map(tuple, fairness.all_gap_intervals(df, "g", 3, 30).collect()))
+    assert [r[0] for r in got] == [r[0] for r in want] and [r[3] for r in got] == [r[3] for r in want] == [30] * 7
+    assert all(abs(a - b) < 1e-12 for x, y in zip(got, want) for a, b in zip(x[1:3], y[1:3]))
+
+
 def test_first_failures_are_tried_again():
     tries = []
 
