@@ -108,10 +108,20 @@ def joined_auc(placed: DataFrame, n: int, replicates: int) -> DataFrame:
 
 
 def permuted_auc(scored: DataFrame, permutations: int) -> DataFrame:
-    """AUC with labels permuted: labels in uid order meet scores in the order of a lot drawn per permutation."""
-    labels = numbered(scored, ["uid"], name="i").select("i", "positive")
-    each = scored.sparkSession.range(permutations).select(F.col("id").alias("b"))
-    drawn = numbered(scored.join(F.broadcast(each)), [lot(F.col("b"), F.col("uid")), "uid"], ["b"], "i")
+    """AUC with labels permuted: labels in uid order meet scores in the order of a lot drawn per permutation.
+
+    Lots are drawn and sorted in the workers, which hold the table; one of more than ``HELD`` rows takes the sort of all lots.
+    """
+    n = scored.count()
+    placed = numbered(scored, ["uid"], name="i")
+    return vectors.permuted_auc(placed, permutations) if 0 < n <= vectors.HELD else joined_permutations(placed, permutations)
+
+
+def joined_permutations(placed: DataFrame, permutations: int) -> DataFrame:
+    """``permuted_auc`` of any number of rows (i, uid, positive, score): B x n lots are sorted and meet the labels."""
+    labels = placed.select("i", "positive")
+    each = placed.sparkSession.range(permutations).select(F.col("id").alias("b"))
+    drawn = numbered(placed.select("uid", "score").join(F.broadcast(each)), [lot(F.col("b"), F.col("uid")), "uid"], ["b"], "i")
     return metrics.auc(drawn.select("b", "i", "score").join(labels, "i").select("b", "positive", "score"), ["b"])
 
 

@@ -237,3 +237,104 @@ def resampled_groups(placed: DataFrame, n: int, k: int, replicates: int) -> tupl
     groups = named.where("of >= 0").select("of", "group").distinct()
     aucs = out.where("kind = 'auc'").join(F.broadcast(groups), "of", "left")
     return cells, aucs.select("b", "of", "group", "label", _auc(aucs))
+
+
+# Fixed values of MD5: rotations, sines and start.
+_TURNS = [r for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for r in four * 4]
+_SINES = [int(abs(np.sin(k + 1)) * 2**32) & 0xFFFFFFFF for k in range(64)]
+_WORD = [k if k < 16 else (5 * k + 1) % 16 if k < 32 else (3 * k + 5) % 16 if k < 48 else 7 * k % 16 for k in range(64)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_LANES = 1 << 14
+
+
+def md5_blocks(words: list[np.ndarray | int], rows: int) -> list[np.ndarray]:
+    """The digest's four words of messages of one block each: 16 words, those equal in all rows as numbers."""
+    a, b, c, d = (np.full(rows, s, np.uint32) for s in _START)
+    f, t = np.empty(rows, np.uint32), np.empty(rows, np.uint32)
+    for k in range(64):
+        if k < 16:  # d ^ (b & (c ^ d))
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif k < 32:  # c ^ (d & (b ^ c))
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif k < 48:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:  # c ^ (b | ~d)
+            np.bitwise_not(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        np.add(f, a, out=f)
+        word = words[_WORD[k]]
+        if isinstance(word, int):
+            np.add(f, np.uint32((word + _SINES[k]) & 0xFFFFFFFF), out=f)
+        else:
+            np.add(f, word, out=f)
+            np.add(f, np.uint32(_SINES[k]), out=f)
+        np.left_shift(f, np.uint32(_TURNS[k]), out=t)
+        np.right_shift(f, np.uint32(32 - _TURNS[k]), out=f)
+        np.bitwise_or(f, t, out=f)
+        np.add(f, b, out=f)
+        a, b, c, d, f = d, f, b, c, a
+    return [v + np.uint32(s) for v, s in zip((a, b, c, d), _START)]
+
+
+class Lots:
+    """Orders of rows by ``functions.prng.lot``: the MD5 of a replicate's number and the row's ``ends``, then the row itself."""
+
+    def __init__(self, ends: pa.Array) -> None:
+        ends = ends.cast(pa.large_binary())
+        first = np.frombuffer(ends.buffers()[1], np.int64)[ends.offset : ends.offset + len(ends) + 1]
+        content = np.frombuffer(ends.buffers()[2] or b"", np.uint8)
+        sizes = np.diff(first)
+        self.n, self.parts = len(ends), []
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            self.parts.append((rows, content[first[rows][:, None] + np.arange(size)]))
+
+    def order(self, b: int) -> np.ndarray:
+        high, low = np.empty(self.n, np.uint64), np.empty(self.n, np.uint64)
+        prefix = str(b).encode()
+        for rows, content in self.parts:
+            for at in range(0, len(rows), _LANES):
+                high[rows[at : at + _LANES]], low[rows[at : at + _LANES]] = self._digests(prefix, content[at : at + _LANES])
+        order = np.argsort(high, kind="stable")
+        # Rows whose first halves are equal go by the second, then by their own place.
+        return np.lexsort((low, high)) if (np.diff(high[order]) == 0).any() else order
+
+    def _digests(self, prefix: bytes, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, size = content.shape
+        size += len(prefix)
+        if size > 55:  # more than a block
+            both = np.array([np.frombuffer(hashlib.md5(prefix + c.tobytes()).digest(), ">u8") for c in content], np.uint64)
+            return both[:, 0], both[:, 1]
+        block = np.zeros((rows, 64), np.uint8)
+        block[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
+        block[:, len(prefix) : size] = content
+        block[:, size], block[:, 56:58] = 0x80, np.frombuffer((8 * size).to_bytes(2, "little"), np.uint8)
+        words, used = block.view("<u4"), range(len(prefix) // 4, size // 4 + 1)
+        digest = md5_blocks([np.ascontiguousarray(words[:, k]) if k in used else int(words[0, k]) for k in range(16)], rows)
+        a, b, c, d = (v.byteswap().astype(np.uint64) for v in digest)
+        return a << np.uint64(32) | b, c << np.uint64(32) | d
+
+
+def permuted_auc(placed: DataFrame, replicates: int) -> DataFrame:
+    """(b, n_pos, n_neg, auc) of rows (i, uid, positive, score): classes in their order meet scores in the order of lots."""
+
+    def run(a: dict[str, pa.Array], b: range) -> pa.Table:
+        positive, score = _numbers(a["positive"], -1, np.int8), _numbers(a["score"], np.nan, float)
+        lots, ranking = Lots(a["ends"]), Ranking(np.zeros(len(score), np.int8), np.zeros(len(score), np.int8), score)
+        run_of = ranking.code // 2
+        found = []
+        for r in b:
+            code = 2 * run_of[lots.order(r)] + positive
+            counts = np.bincount(code[positive >= 0], minlength=2 * ranking.runs)
+            found.append((r, *(int(v.sum()) for v in ranking.sums(counts))))
+        return _rows(found, _AUC)
+
+    ends = F.coalesce(F.concat(F.lit("|"), F.col("uid").cast("string")), F.lit(""))  # concat_ws leaves a null out
+    out = by_groups(placed, {"ends": ends, "positive": F.col("positive"), "score": ranked_score(F.col("score"))}, replicates, run, _AUC)
+    return out.select("b", "n_pos", "n_neg", _auc(out))

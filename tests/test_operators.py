@@ -223,6 +223,25 @@ def test_gap_intervals_draw_in_the_workers(spark, monkeypatch):
     assert all(abs(a - b) < 1e-12 for x, y in zip(got, want) for a, b in zip(x[1:3], y[1:3]))
 
 
+def test_permutations_are_sorted_in_the_workers(spark):
+    df = _scored(spark, 300).withColumn("uid", F.concat(F.repeat(F.lit("ü"), (F.col("uid") % 40).cast("int")), F.col("uid").cast("string")))
+    out = inference.permuted_auc(df, 23)
+    assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row of a table for each lot
+    want = inference.joined_permutations(ranks.numbered(df, ["uid"], name="i"), 23)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lots_are_those_of_md5():
+    import hashlib
+
+    import pyarrow as pa
+
+    ends = [f"|{k * 977}" for k in range(3000)] + ["|" + "x" * k for k in range(49, 70)] + ["", "|7", "|7"]
+    for b in (0, 12, 999):
+        key = lambda i: (hashlib.md5(f"{b}{ends[i]}".encode()).hexdigest(), i)  # noqa: E731, B023
+        assert inference.vectors.Lots(pa.array(ends)).order(b).tolist() == sorted(range(len(ends)), key=key)
+
+
 def test_first_failures_are_tried_again():
     tries = []
 
