@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions.prng import draw_sql, lot_sql
 from ..operators import cohorts, fairness, generalize, inference, metrics
+from ..sources import work
 from .base import P2, P3, auc_sql, class_sql, predictions2, predictions3, query, resample_sql, rounded, table
 
 B = 100
@@ -273,11 +274,10 @@ def join06(spark, sf):
 
 @query("OOD_04_display", f"WITH {P3}, {resample_sql('cells', B, _DRAW)}, {class_sql('d', 'b')}, q AS (SELECT quantile_cont(balanced_accuracy, 0.025) AS lo, avg(balanced_accuracy) AS mid, quantile_cont(balanced_accuracy, 0.975) AS hi FROM m) SELECT printf('%.3f [%.3f, %.3f]', mid, lo, hi) AS shown FROM q")
 def ood04(spark, sf):
-    return _display(spark, sf, B)
+    return _display(inference.resampled_cells(metrics.cells(predictions3(spark, sf)), B))
 
 
-def _display(spark: SparkSession, sf: str, replicates: int) -> DataFrame:
-    drawn = inference.resampled_cells(metrics.cells(predictions3(spark, sf)), replicates)
+def _display(drawn: DataFrame) -> DataFrame:
     each = metrics.summary(metrics.per_class(drawn, ["b"]), ["b"])
     q = each.agg(F.avg("balanced_accuracy").alias("mid"), F.percentile("balanced_accuracy", [0.025, 0.975]).alias("q"))
     return q.select(N.interval_text(F.col("mid"), F.col("q")[0], F.col("q")[1]).alias("shown"))
@@ -311,9 +311,10 @@ def met15_full(spark, sf):
 
 @query("BST_01_intervals_full")
 def bst01_full(spark, sf):
-    p = predictions3(spark, sf)
-    classes = inference.sensitivity_intervals(p, FULL_B).select(F.concat(F.lit("sensitivity_"), "label").alias("metric"), "ci_low", "ci_high", "n_valid")
-    return rounded(inference.bootstrap_summary(p, FULL_B).unionByName(classes))
+    work.shared_folder(spark)
+    drawn = inference.vectors.drawn_cells(metrics.cells(predictions3(spark, sf)), FULL_B).checkpoint()  # read twice, B x K x K rows
+    classes = inference.sensitivity_intervals(drawn).select(F.concat(F.lit("sensitivity_"), "label").alias("metric"), "ci_low", "ci_high", "n_valid")
+    return rounded(inference.summary_intervals(drawn).unionByName(classes))
 
 
 @query("BST_01_auc_full")
@@ -334,4 +335,4 @@ def bst03_full(spark, sf):
 
 @query("OOD_04_display_full")
 def ood04_full(spark, sf):
-    return _display(spark, sf, FULL_B)
+    return _display(inference.resampled_cells(metrics.cells(predictions3(spark, sf)), FULL_B))

@@ -242,6 +242,16 @@ def test_lots_are_those_of_md5():
         assert inference.vectors.Lots(pa.array(ends)).order(b).tolist() == sorted(range(len(ends)), key=key)
 
 
+@pytest.mark.parametrize("n, k", [(5, 2), (3000, 3), (70_000, 12)])
+def test_drawn_cells_are_the_resampled_ones(spark, n, k):
+    p = spark.range(n).selectExpr("id as uid", f"if(id = 3, null, cast(id % {k} as int)) y_true", f"cast((id * 7) div 3 % {k} as int) y_pred")
+    got, want = (f(metrics.cells(p), 23) for f in (inference.vectors.drawn_cells, inference.resampled_cells))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    # Chunks of draws are few bytes each before they are made: they must not end in one task.
+    assert got.rdd.getNumPartitions() and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in want._jdf.queryExecution().executedPlan().toString()
+
+
 def test_first_failures_are_tried_again():
     tries = []
 
