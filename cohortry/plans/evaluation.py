@@ -335,4 +335,4 @@ def bst03_full(spark, sf):
 
 @query("OOD_04_display_full")
 def ood04_full(spark, sf):
-    return _display(inference.resampled_cells(metrics.cells(predictions3(spark, sf)), FULL_B))
+    return _display(inference.vectors.drawn_cells(metrics.cells(predictions3(spark, sf)), FULL_B))

@@ -252,6 +252,18 @@ def test_drawn_cells_are_the_resampled_ones(spark, n, k):
     assert "REPARTITION_BY_NUM" in want._jdf.queryExecution().executedPlan().toString()
 
 
+def test_full_display_counts_draws_by_vectors(spark):
+    from cohortry import plans
+
+    out = plans.QUERIES["OOD_04_display_full"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "104729" not in plan  # the step of the counters of rows that are draws
+    from cohortry.plans import base, evaluation
+
+    joined = evaluation._display(inference.resampled_cells(metrics.cells(base.predictions3(spark, "/root/testdata/sf0.001")), 1000))
+    assert out.collect() == joined.collect()
+
+
 def test_first_failures_are_tried_again():
     tries = []
 
