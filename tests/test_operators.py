@@ -264,6 +264,15 @@ def test_full_display_counts_draws_by_vectors(spark):
     assert out.collect() == joined.collect()
 
 
+def test_full_diagnostics_make_no_row_of_a_lot(spark):
+    from cohortry import plans
+
+    out = plans.QUERIES["MET_15_diagnostics_full"](spark, "/root/testdata/sf0.001")
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    (row,) = out.collect()
+    assert 0 <= row["auc"] <= 1 and 0.4 < row["null_mean"] < 0.6
+
+
 def test_first_failures_are_tried_again():
     tries = []
 
