@@ -119,7 +119,7 @@ def permuted_auc(scored: DataFrame, permutations: int) -> DataFrame:
     """
     n = scored.count()
     placed = numbered(scored, ["uid"], name="i")
-    return vectors.permuted_auc(placed, permutations) if 0 < n <= vectors.HELD else joined_permutations(placed, permutations)
+    return vectors.permuted_auc(placed, n, permutations) if 0 < n <= vectors.HELD else joined_permutations(placed, permutations)
 
 
 def joined_permutations(placed: DataFrame, permutations: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 Draws are those of ``functions.prng``, to the bit. A table's rows are packed into blocks in their order and every group of
 replicates reads all blocks, so no drawn row is ever a row of Spark, nothing is broadcast and nothing passes the driver.
+Each group of replicates gets a copy of a small table; of one above ``COPIED`` rows there is one copy that all groups read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ..sources import work
 
 #: Rows a worker holds (some 60 bytes each at most); larger tables take the joins of ``inference``.
 HELD = 1 << 23
+#: Rows of a table that is copied for each group of replicates.
+COPIED = 1 << 20
 #: Replicates of one group, rows of a block, counters of one vector, counters of a task's turn over cells.
 GROUP, BLOCK, STEP, TURN = 20, 1 << 16, 1 << 15, 1 << 18
 _P, _BITS = np.uint64(PRIME), np.uint64(31)
@@ -139,19 +142,40 @@ class Ranking:
         return self.sums(np.bincount(self.code, w, 2 * self.runs + 1).astype(np.int64))
 
 
-def by_groups(placed: DataFrame, columns: dict[str, Column], replicates: int, run: Callable, schema: str) -> DataFrame:
-    """``run``(arrays by name, in the order of ``i``; range of replicates) for each group of replicates, over all rows."""
+def by_groups(placed: DataFrame, n: int, columns: dict[str, Column], replicates: int, run: Callable, schema: str) -> DataFrame:
+    """``run``(arrays by name, in the order of ``i``; range of replicates) for each group of replicates, over all ``n`` rows.
+
+    This runs a job for tables above ``COPIED`` rows.
+    """
     inner = F.sort_array(F.collect_list(F.struct("i", *[c.alias(n) for n, c in columns.items()])))
     blocks = placed.groupBy(F.floor(F.col("i") / BLOCK).alias("block")).agg(inner.alias("rows"))
     names = list(columns)
     blocks = blocks.select("block", *[F.col("rows")[n].alias(n) for n in names])
     groups = -(-replicates // GROUP)
+    several = lambda g: range(g * GROUP, min(g * GROUP + GROUP, replicates))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, dict[int, dict[str, pa.Array]]] = {}  # of one group, as each has a task of its own
+        for batch in batches:
+            for k, (g, block) in enumerate(zip(batch["g"].to_pylist(), batch["block"].to_pylist())):
+                # An array put together is one of its own, which does not keep the batch.
+                found.setdefault(g, {})[block] = {n: pa.concat_arrays([(a := batch[n].slice(k, 1).flatten()), a[:0]]) for n in names}
+            del batch
+        for g, parts in found.items():
+            order = sorted(parts)
+            arrays = {n: pa.concat_arrays([parts[block].pop(n) for block in order]) for n in names}
+            yield from run(arrays, several(g)).to_batches()
+
+    if n > COPIED:
+        work.shared_folder(placed.sparkSession)
+        each = placed.sparkSession.range(0, groups, 1, groups).select(F.col("id").alias("g"))
+        return each.hint("shuffle_replicate_nl").join(blocks.checkpoint().coalesce(1)).mapInArrow(read, schema)
     every = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(groups, "g")
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
         g, table = key[0].as_py(), table.sort_by("block")
         arrays = {n: pa.concat_arrays([c.flatten() for c in table[n].chunks]) for n in names}
-        return run(arrays, range(g * GROUP, min(g * GROUP + GROUP, replicates)))
+        return run(arrays, several(g))
 
     return every.groupBy("g").applyInArrow(one, schema)
 
@@ -165,7 +189,7 @@ def ranked_score(score: Column) -> Column:
 def _numbers(a: pa.Array, missing: float, kind: type) -> np.ndarray:
     if pa.types.is_boolean(a.type):
         a = a.cast(pa.int8())
-    return a.fill_null(missing).to_numpy(zero_copy_only=False).astype(kind)
+    return a.fill_null(missing).to_numpy(zero_copy_only=False).astype(kind, copy=False)
 
 
 def _auc(tallies: DataFrame) -> Column:
@@ -191,7 +215,7 @@ def resampled_auc(placed: DataFrame, n: int, replicates: int) -> DataFrame:
         found = [(r, *(int(v.sum()) for v in ranking.weighted(w))) for r, w in weights(b, n)]
         return _rows(found, _AUC)
 
-    out = by_groups(placed, {"positive": F.col("positive"), "score": ranked_score(F.col("score"))}, replicates, run, _AUC)
+    out = by_groups(placed, n, {"positive": F.col("positive"), "score": ranked_score(F.col("score"))}, replicates, run, _AUC)
     return out.select("b", "n_pos", "n_neg", _auc(out))
 
 
@@ -232,7 +256,7 @@ def resampled_groups(placed: DataFrame, n: int, k: int, replicates: int) -> tupl
                 found += [(r, "auc", key + shift, j, p, q, v) for key, p, q, v in zip(ranking.keys, *ranking.weighted(w))]
         return _rows(found, _GAPS)
 
-    out = by_groups(known, columns, replicates, run, _GAPS).checkpoint()
+    out = by_groups(known, n, columns, replicates, run, _GAPS).checkpoint()
     cells = out.where("kind = 'cell'").select("b", F.col("of").alias("cell"), F.col("n_pos").alias("n")).join(F.broadcast(named), "cell").select("b", *cell, "n")
     groups = named.where("of >= 0").select("of", "group").distinct()
     aucs = out.where("kind = 'auc'").join(F.broadcast(groups), "of", "left")
@@ -286,24 +310,42 @@ class Lots:
     """Orders of rows by ``functions.prng.lot``: the MD5 of a replicate's number and the row's ``ends``, then the row itself."""
 
     def __init__(self, ends: pa.Array) -> None:
-        ends = ends.cast(pa.large_binary())
-        first = np.frombuffer(ends.buffers()[1], np.int64)[ends.offset : ends.offset + len(ends) + 1]
+        wide = pa.types.is_large_string(ends.type) or pa.types.is_large_binary(ends.type)
+        first = np.frombuffer(ends.buffers()[1], np.int64 if wide else np.int32)[ends.offset : ends.offset + len(ends) + 1]
         content = np.frombuffer(ends.buffers()[2] or b"", np.uint8)
         sizes = np.diff(first)
         self.n, self.parts = len(ends), []
         for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            self.parts.append((rows, content[first[rows][:, None] + np.arange(size)]))
+            rows = np.flatnonzero(sizes == size).astype(np.int32)
+            held = np.empty((len(rows), size), np.uint8)
+            for at in range(0, len(rows), _LANES):
+                held[at : at + _LANES] = content[first[rows[at : at + _LANES]][:, None] + np.arange(size)]
+            self.parts.append((rows, held))
 
     def order(self, b: int) -> np.ndarray:
-        high, low = np.empty(self.n, np.uint64), np.empty(self.n, np.uint64)
-        prefix = str(b).encode()
+        prefix, lots = str(b).encode(), np.empty(self.n, np.uint64)
+        # Each row's place stands in the last bits of its lot's first half: numbers sort faster than places by numbers.
+        last = np.uint64((1 << max(1, self.n - 1).bit_length()) - 1)
         for rows, content in self.parts:
             for at in range(0, len(rows), _LANES):
-                high[rows[at : at + _LANES]], low[rows[at : at + _LANES]] = self._digests(prefix, content[at : at + _LANES])
-        order = np.argsort(high, kind="stable")
-        # Rows whose first halves are equal go by the second, then by their own place.
-        return np.lexsort((low, high)) if (np.diff(high[order]) == 0).any() else order
+                some = rows[at : at + _LANES]
+                lots[some] = self._digests(prefix, content[at : at + _LANES])[0] & ~last | some.astype(np.uint64)
+        lots.sort()
+        tied = np.concatenate([np.flatnonzero(lots[at + 1 : at + 1 + BLOCK] ^ lots[at : at + BLOCK][: self.n - 1 - at] <= last) + at for at in range(0, max(1, self.n - 1), BLOCK)])
+        np.bitwise_and(lots, last, out=lots)
+        order = lots.view(np.int64)
+        if len(tied):
+            # Rows equal in the other bits go by the whole lot, then by their own place.
+            tied = np.union1d(tied, tied + 1)
+            found = np.sort(order[tied])
+            high, low = np.empty(len(found), np.uint64), np.empty(len(found), np.uint64)
+            for rows, content in self.parts:
+                at = np.flatnonzero(np.isin(rows, found, assume_unique=True))
+                if len(at):
+                    to = np.searchsorted(found, rows[at])
+                    high[to], low[to] = self._digests(prefix, content[at])
+            order[tied] = found[np.lexsort((low, high))]
+        return order
 
     def _digests(self, prefix: bytes, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, size = content.shape
@@ -321,20 +363,30 @@ class Lots:
         return a << np.uint64(32) | b, c << np.uint64(32) | d
 
 
-def permuted_auc(placed: DataFrame, replicates: int) -> DataFrame:
+def permuted_auc(placed: DataFrame, n: int, replicates: int) -> DataFrame:
     """(b, n_pos, n_neg, auc) of rows (i, uid, positive, score): classes in their order meet scores in the order of lots."""
 
     def run(a: dict[str, pa.Array], b: range) -> pa.Table:
-        positive, score = _numbers(a["positive"], -1, np.int8), _numbers(a["score"], np.nan, float)
-        lots, ranking = Lots(a["ends"]), Ranking(np.zeros(len(score), np.int8), np.zeros(len(score), np.int8), score)
-        run_of = ranking.code // 2
+        # What has been turned into another form goes at once: two workers share what an executor's heap leaves.
+        score = _numbers(a.pop("score"), np.nan, float)
+        values = np.unique(score[~np.isnan(score)])
+        run_of = np.empty(n, np.int32)  # rows without score have the number behind the last
+        for at in range(0, n, BLOCK):
+            run_of[at : at + BLOCK] = np.searchsorted(values, score[at : at + BLOCK])
+        del score
+        runs, lots, positive = len(values), Lots(a.pop("ends")), _numbers(a.pop("positive"), -1, np.int8)
+        step = max(STEP, 2 * runs)
         found = []
         for r in b:
-            code = 2 * run_of[lots.order(r)] + positive
-            counts = np.bincount(code[positive >= 0], minlength=2 * ranking.runs)
-            found.append((r, *(int(v.sum()) for v in ranking.sums(counts))))
+            order, counts = lots.order(r), np.zeros(2 * runs + 2, np.int64)
+            for at in range(0, n, step):
+                known = positive[at : at + step]
+                code = 2 * run_of[order[at : at + step]] + known
+                counts += np.bincount(code if (known >= 0).all() else code[known >= 0], minlength=len(counts))
+            neg, pos = counts[0 : 2 * runs : 2], counts[1 : 2 * runs : 2]
+            found.append((r, int(pos.sum()), int(neg.sum()), int((pos * (2 * (np.cumsum(neg) - neg) + neg)).sum())))
         return _rows(found, _AUC)
 
     ends = F.coalesce(F.concat(F.lit("|"), F.col("uid").cast("string")), F.lit(""))  # concat_ws leaves a null out
-    out = by_groups(placed, {"ends": ends, "positive": F.col("positive"), "score": ranked_score(F.col("score"))}, replicates, run, _AUC)
+    out = by_groups(placed, n, {"ends": ends, "positive": F.col("positive"), "score": ranked_score(F.col("score"))}, replicates, run, _AUC)
     return out.select("b", "n_pos", "n_neg", _auc(out))

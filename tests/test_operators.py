@@ -273,6 +273,46 @@ def test_full_diagnostics_make_no_row_of_a_lot(spark):
     assert 0 <= row["auc"] <= 1 and 0.4 < row["null_mean"] < 0.6
 
 
+def test_groups_of_replicates_read_one_copy(spark, monkeypatch):
+    df = _scored(spark, 300)
+    placed = ranks.numbered(df, ["uid"], name="i")
+    monkeypatch.setattr(inference.vectors, "COPIED", 299)
+    monkeypatch.setattr(inference.vectors, "BLOCK", 64)
+    for taken, joined in ((inference.permuted_auc, inference.joined_permutations), (inference.resampled_auc, lambda p, b: inference.joined_auc(p, 300, b))):
+        out = taken(df, 45)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # A copy of all blocks for each group went through a shuffle: fifty times the table for 1,000 replicates.
+        assert "CartesianProduct" in plan and "Exchange" not in plan and "explode" not in plan
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, joined(placed, 45).collect()))
+    rows = "id * 3 as uid", "if(id % 31 = 5, null, 'g' || id % 4) g", "cast(id * 7 % 5 % 3 as int) y_true", "cast(id % 3 as int) y_pred"
+    df = spark.range(400).selectExpr(*rows, "array(id % 7 / 9.0D, if(id % 29 = 1, null, id % 5 / 9.0D), id % 11 / 12.0D) proba")
+    got = fairness.all_gap_intervals(df, "g", 3, 30).collect()
+    monkeypatch.undo()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, fairness.all_gap_intervals(df, "g", 3, 30).collect()))
+
+
+def test_lots_with_equal_first_bits():
+    import hashlib
+
+    import pyarrow as pa
+
+    ends = ["|7", "", "|7", "|8", "", "|7"] + [f"|{k}" for k in range(40)]
+    for some in (ends, ends[:3], ends[:1]):
+        key = lambda i: (hashlib.md5(f"5{some[i]}".encode()).hexdigest(), i)  # noqa: E731, B023
+        assert inference.vectors.Lots(pa.array(some)).order(5).tolist() == sorted(range(len(some)), key=key)
+
+    class Halves(inference.vectors.Lots):
+        def _digests(self, prefix, content):
+            high, low = super()._digests(prefix, content)
+            return high >> np.uint64(60) << np.uint64(4), low
+
+    import numpy as np
+
+    halves = Halves(pa.array(ends))
+    digests = [hashlib.md5(f"5{e}".encode()).hexdigest() for e in ends]
+    assert halves.order(5).tolist() == sorted(range(len(ends)), key=lambda i: (digests[i][0], digests[i][16:], i))
+
+
 def test_first_failures_are_tried_again():
     tries = []
 
