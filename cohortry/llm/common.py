@@ -93,6 +93,17 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def trimmed(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` over a group, and its memory released when it ends."""
+
+    def wrapped(found: pa.Table) -> pa.Table:
+        out = run(found)
+        trim()
+        return out
+
+    return wrapped
+
+
 def source_key(column) -> F.Column:
     """A never-null text that orders like the source itself, null last."""
     return F.when(column.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), column))

@@ -19,7 +19,8 @@ Index lists are then read twice. First each member meets the hubs of its lists;
 most of a family of near copies is one component after a few comparisons a member. Then a node that stands in a list
 beside one of a larger component asks that one's family, once, whatever they share besides: its set is counted
 against the sets of all members in bounded blocks, so pairs never become rows, and only links come out. Verifying is
-exact everywhere. Nothing but fixed-size sketches reaches the driver.
+exact everywhere. Nothing but fixed-size sketches reaches the driver. Lists are dealt out by ranges of their keys' hash,
+as many as the tokens or entries ask for, so a call's share grows neither with the number of texts nor with their length.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, mix64, released, sequence_hash, tidy, trim, window_hashes, written
+from .common import Words, checkpointed, chunks, mix64, released, sequence_hash, tidy, trimmed, window_hashes, written
 
 WIDTH = 5
 PERCENT = 75
@@ -45,7 +46,11 @@ FREQUENT = 4  # from this level on a class is frequent; each level above it doub
 GAP = 3
 BLOOM_BITS = 23
 BLOOM_HASHES = 4
-DOCS_PER_RANGE = 8192
+#: A range of the hash, which one call holds, has about so many tokens of all sets, or so many entries of lists, at most.
+TOKENS_A_RANGE = 1 << 21
+ENTRIES_A_RANGE = 1 << 18
+LEAST_RANGES = 8
+SLICE_ENTRIES = 1 << 17
 FLUSH_ENTRIES = 1 << 18
 FLUSH_TOKENS = 1 << 20
 ROWS_AT_ONCE = 1 << 19
@@ -188,6 +193,43 @@ def _by_part(part: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndar
     return part[first], first, np.append(first[1:], len(part))
 
 
+def ranges_for(amount: int, of_each: int) -> int:
+    """A number of ranges, a power of two, that gives each ``of_each`` or less of ``amount``."""
+    return max(LEAST_RANGES, 1 << (amount // of_each).bit_length())
+
+
+def _beside(entries: np.ndarray) -> np.ndarray:
+    """Those of ``entries`` that stand in a list beside one of a fitting size, each node once a list, by key, size and node."""
+    entries = entries[np.argsort(entries["key"], kind="stable")]
+    key = entries["key"]
+    again = np.zeros(len(key), bool)
+    same = key[1:] == key[:-1]
+    again[1:] |= same
+    again[:-1] |= same
+    entries = entries[again]  # most keys stand in one document only
+    entries = entries[np.lexsort((entries["node"], entries["n"], entries["key"]))]
+    key, node = entries["key"], entries["node"]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    entries = entries[fresh]
+    key, n = entries["key"], entries["n"].astype(np.int64)
+    fits = (key[1:] == key[:-1]) & (n[:-1] * 100 >= n[1:] * PERCENT)  # a list is in the order of sizes
+    again = np.zeros(len(key), bool)
+    again[1:] |= fits
+    again[:-1] |= fits
+    return entries[again]
+
+
+def meeting_entries(blobs: Iterable[pa.Buffer | bytes], ranges: int) -> np.ndarray:
+    """``_beside`` of a range's blobs of entries. They are read where they lie, a slice of the range after the other: no copy of all is made."""
+    views = [np.frombuffer(b, _ENTRY) for b in blobs]
+    slices = 1 << (sum(map(len, views)) // SLICE_ENTRIES).bit_length()
+    if slices == 1:
+        return _beside(np.concatenate(views))
+    forth, back = np.uint64(ranges.bit_length() - 1), np.uint64(64 - (slices.bit_length() - 1))
+    return np.concatenate([_beside(np.concatenate([v[v["key"] << forth >> back == k] for v in views])) for k in range(slices)])
+
+
 def index_lists(docs: DataFrame, levels: np.ndarray, ranges: int) -> DataFrame:
     """(key, node, n, rare): the entries of all index lists, each node once a list and only beside one of a size that allows a link."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
@@ -224,28 +266,10 @@ def index_lists(docs: DataFrame, levels: np.ndarray, ranges: int) -> DataFrame:
             yield flush()
 
     def collect(found: pa.Table) -> pa.Table:
-        entries = np.concatenate([np.frombuffer(b.as_py(), _ENTRY) for b in found["entries"]])
-        entries = entries[np.argsort(entries["key"], kind="stable")]
-        key = entries["key"]
-        again = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        entries = entries[again]  # most keys stand in one document only
-        entries = entries[np.lexsort((entries["node"], entries["n"], entries["key"]))]
-        key, node = entries["key"], entries["node"]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        entries = entries[fresh]
-        key, n = entries["key"], entries["n"].astype(np.int64)
-        fits = (key[1:] == key[:-1]) & (n[:-1] * 100 >= n[1:] * PERCENT)  # a list is in the order of sizes
-        again = np.zeros(len(key), bool)
-        again[1:] |= fits
-        again[:-1] |= fits
-        entries = entries[again]
+        entries = meeting_entries((b.as_buffer() for b in found["entries"]), ranges)
         return pa.table({"key": entries["key"].view(np.int64), "node": entries["node"], "n": entries["n"], "rare": entries["rare"]})
 
-    return docs.select("text").mapInArrow(tidy(emit), "part bigint, entries binary").groupBy("part").applyInArrow(collect, _LISTS)
+    return docs.select("text").mapInArrow(tidy(emit), "part bigint, entries binary").groupBy("part").applyInArrow(trimmed(collect), _LISTS)
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
@@ -377,7 +401,7 @@ def reaches(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, ranges: int)
         return pa.table({"node": names, "reach": np.bincount(place, np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in found["held"]])).astype(np.int32)})
 
     parts = _keyed(docs).select("text_key", "text").mapInArrow(tidy(emit), "part bigint, nodes binary, counts binary, tokens binary")
-    return parts.groupBy("part").applyInArrow(count, "home bigint, nodes binary, held binary").groupBy("home").applyInArrow(add, "node bigint, reach int")
+    return parts.groupBy("part").applyInArrow(trimmed(count), "home bigint, nodes binary, held binary").groupBy("home").applyInArrow(trimmed(add), "node bigint, reach int")
 
 
 def _allowed(n: F.Column, m: F.Column, reach: F.Column) -> F.Column:
@@ -417,7 +441,7 @@ def star_pairs(lists: DataFrame, ranges: int, partners: int = 3) -> DataFrame:
         code, first, times = np.unique(a * np.int64(len(names)) + b, return_index=True, return_counts=True)
         return pa.table([pa.array(x, f.type) for x, f in zip((names[code // len(names)], names[code % len(names)], times, few[first]), fields)], schema=fields)
 
-    met = _with_part(lists, ranges).groupBy("part").applyInArrow(meet, "a bigint, b bigint, met bigint, rare int")
+    met = _with_part(lists, ranges).groupBy("part").applyInArrow(trimmed(meet), "a bigint, b bigint, met bigint, rare int")
     counts = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("rare").alias("rare"))
     best = counts.where(F.col("met") * 5 >= F.col("rare")).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b")))
     return best.where(F.col("nth") <= partners).select("a", "b", "nth")
@@ -476,7 +500,7 @@ def questions(lists: DataFrame, grouped: DataFrame, ranges: int) -> DataFrame:
         return pa.table([names[out[0] // len(homes)], homes[out[0] % len(homes)]], schema=fields)
 
     named = lists.select("key", "node", "n", "reach").join(grouped.drop("n"), "node")
-    return _with_part(named, ranges).groupBy("part").applyInArrow(ask, "node bigint, family bigint").distinct()
+    return _with_part(named, ranges).groupBy("part").applyInArrow(trimmed(ask), "node bigint, family bigint").distinct()
 
 
 def answers(asked: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
@@ -523,11 +547,10 @@ def answers(asked: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
                     _, one = np.unique(component[first:middle][linked], return_index=True)
                     a += [node[x]] * len(one)
                     b += node[first + linked[one]].tolist()
-        trim()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=fields)
 
     dealt = rows.join(sets.dropDuplicates(["node"]), "node").withColumn("part", F.pmod(F.col("unit"), F.lit(int(tasks))))
-    return dealt.select("part", "unit", "node", "component", "asks", "tokens").groupBy("part").applyInArrow(count, "a bigint, b bigint")
+    return dealt.select("part", "unit", "node", "component", "asks", "tokens").groupBy("part").applyInArrow(trimmed(count), "a bigint, b bigint")
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -565,7 +588,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     session = docs.sparkSession
     signed = checkpointed(signatures(docs))
     own = signed.where("part is null").drop("part", "counts")
-    ranges = 1 << max(3, (own.count() // DOCS_PER_RANGE).bit_length())
+    ranges = ranges_for(own.agg(F.sum("n_shingles")).first()[0] or 0, TOKENS_A_RANGE)
     levels = class_levels(signed)
     nodes = checkpointed(own.where("node is not null").groupBy("node").agg(F.min("text_key").alias("text_key")))
     every, drop_every = written(index_lists(docs, levels, ranges))
@@ -575,6 +598,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists, drop_lists = written(every.join(reach, "node").where(F.col("reach") * 100 >= F.col("n") * PERCENT))
     drop_every()
     released(session)
+    ranges = ranges_for(lists.count(), ENTRIES_A_RANGE)
     sets, drop_sets = written(token_sets(docs, keys(lists)))
     stars = checkpointed(star_pairs(lists, ranges))
     first = connected_components(verified(sets, stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -438,6 +439,44 @@ def test_reach_bounds_what_any_pair_shares(spark):
             assert got.get(node, 0) == (often | np.isin(t, others)).sum()
 
 
+def test_ranges_follow_tokens_not_documents(spark, monkeypatch):
+    """Few long texts are dealt to as many calls as many short ones, so none holds more than its share."""
+    monkeypatch.setattr(jaccard, "TOKENS_A_RANGE", 200, raising=False)
+    monkeypatch.setattr(jaccard, "ENTRIES_A_RANGE", 100, raising=False)
+    met = {}
+    for name in ("index_lists", "star_pairs"):
+        plain = getattr(jaccard, name)
+        monkeypatch.setattr(jaccard, name, lambda *args, name=name, plain=plain: met.update({name: args[-1]}) or plain(*args))
+    docs = [(2 * k + j, prose(300 + k, 1500) + " x" * j) for k in range(4) for j in range(2)]
+    got = jaccard.similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(_components(docs))
+    assert sum(r["n_shingles"] for r in got) / met["index_lists"] <= 200 and met["star_pairs"] > 8
+
+
+def test_index_lists_are_read_without_a_copy_of_all(monkeypatch):
+    """A range's entries are gone through in slices: besides its input, a call holds a part of it only."""
+    rng = np.random.default_rng(12)
+    ranges, common = 8, rng.integers(0, 2**61, 4000, dtype=np.uint64)  # keys of the first of 8 ranges
+    blobs = []
+    for _ in range(64):
+        e = np.empty(8192, jaccard._ENTRY)
+        e["key"] = np.concatenate([common[rng.integers(0, 4000, 1000)], rng.integers(0, 2**61, 7192, dtype=np.uint64)])
+        e["node"], e["n"], e["rare"] = rng.integers(-(2**40), 2**40, 8192), rng.integers(60, 140, 8192), 20
+        blobs.append(e.tobytes())
+    blobs += blobs[:2]  # nodes that two tasks give
+    monkeypatch.setattr(jaccard, "SLICE_ENTRIES", 1 << 15)
+    tracemalloc.start()
+    got = jaccard.meeting_entries(blobs, ranges)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lists = {}
+    for key, node, n, rare in (e for b in blobs for e in np.frombuffer(b, jaccard._ENTRY).tolist()):
+        lists.setdefault(key, set()).add((n, node, rare))
+    wanted = [(key, node, n, rare) for key in sorted(lists) for n, node, rare in sorted(lists[key]) if any(o != (n, node, rare) and 100 * min(n, o[0]) >= 75 * max(n, o[0]) for o in lists[key])]
+    assert got.tolist() == wanted
+    assert most < sum(map(len, blobs)) / 2
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 200), (200, 300), (7, 7), (300, 100)]
     got = {r["node"]: r["component"] for r in jaccard.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
